@@ -3,10 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import langid, secrets
+from skein.llm import langid, packing, quality, secrets
 from skein.llm.common import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -16,9 +21,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op3_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle_sql()}
+    return {"op2_secret_scan": secrets.oracle_sql(), "op8_packing": packing.oracle_sql()}
