@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import langid, packing, quality, secrets
+from skein.llm import langid, packing, quality, secrets, simhash
 from skein.llm.common import read_table
 
 
@@ -21,12 +21,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op8_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op7_simhash_near_dedup, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
