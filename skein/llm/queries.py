@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import langid, packing, quality, secrets, simhash
+from skein.llm import bpe, langid, packing, quality, secrets, simhash, tokencounts
 from skein.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -29,8 +33,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.document_token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op7_simhash_near_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op5_bpe_codec, op7_simhash_near_dedup, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
