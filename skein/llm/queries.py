@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, langid, packing, quality, secrets, simhash, tokencounts
+from skein.llm import ann, bpe, langid, packing, pii, pq, quality, secrets, simhash, tokencounts
 from skein.llm.common import read_table
 
 
@@ -21,10 +21,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -33,13 +41,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_pairs(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.document_token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op5_bpe_codec, op7_simhash_near_dedup, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op4_pii, op5_bpe_codec, op6_nearest_neighbours, op7_simhash_near_dedup, op8_packing, op9_embedding_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle_sql(), "op8_packing": packing.oracle_sql()}
+    return {
+        "op2_secret_scan": secrets.oracle_sql(),
+        "op6_nearest_neighbours": ann.oracle_sql(),
+        "op8_packing": packing.oracle_sql(),
+        "op9_embedding_near_dedup": pq.oracle_sql(),
+    }
