@@ -10,7 +10,7 @@ are found, and the fewest probes are taken that reach `RECALL` of them. Inside t
 partitions scores are exact, so the only loss is a neighbour in a partition not probed.
 
 Every row is a query. Defined results: rows that are no usable vector (see
-`vectors.unit_vectors`) have no neighbours and are none; the vector itself isn't its own
+`vectors.usable_vectors`) have no neighbours and are none; the vector itself isn't its own
 neighbour; equal scores go by the lesser id; with fewer than k others all are returned.
 """
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialise
-from skein.llm.vectors import matrix, sample, unit_vectors
+from skein.llm.vectors import cosines, matrix, sample, units, usable_vectors
 
 K = 10
 ROWS_PER_PARTITION, MAX_PARTITIONS = 4_096, 256
@@ -158,7 +158,7 @@ def learn(vectors: DataFrame, dim: int, n: int, k: int) -> Router:
     # held-out queries: not the sample's vectors but those of the largest hashes
     spark = vectors.sparkSession
     rows = vectors.orderBy(F.xxhash64("vec_id").desc(), "vec_id").limit(CALIBRATION_QUERIES).toPandas()
-    q_ids, q = rows["vec_id"].to_numpy(np.int64), matrix(rows["v"], dim)
+    q_ids, q = rows["vec_id"].to_numpy(np.int64), units(rows["v"], dim)
     shared = spark.sparkContext.broadcast((q_ids, q, router))
 
     def exact(batches):
@@ -166,7 +166,7 @@ def learn(vectors: DataFrame, dim: int, n: int, k: int) -> Router:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, own = matrix(b.column(1), dim), np.full(len(q_ids), -1)
+            x, own = units(b.column(1), dim), np.full(len(q_ids), -1)
             ids = b.column(0).to_numpy()
             place = {int(v): i for i, v in enumerate(ids)}
             for j, v in enumerate(q_ids.tolist()):
@@ -189,7 +189,7 @@ def learn(vectors: DataFrame, dim: int, n: int, k: int) -> Router:
 def nearest(table: DataFrame, k: int = K) -> DataFrame:
     """query_id, neighbour_id, rank, score (cosine, six decimals) of k neighbours of every row."""
     spark = table.sparkSession
-    found, dim = unit_vectors(table)
+    found, dim = usable_vectors(table)
     vectors = materialise(found)
     n = vectors.count()
     if n < 2:
@@ -202,7 +202,7 @@ def nearest(table: DataFrame, k: int = K) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            order = r.order(matrix(b.column(1), dim))[:, : r.probes]
+            order = r.order(units(b.column(1), dim))[:, : r.probes]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
 
     routed = materialise(vectors.mapInArrow(route, "vec_id long, v binary, parts array<int>"))
@@ -220,8 +220,11 @@ def nearest(table: DataFrame, k: int = K) -> DataFrame:
         q_ids = q["vec_id"].to_numpy()
         place = np.searchsorted(ids, q_ids)
         own = np.where((place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == q_ids), place, -1)
-        at, score = top_k(matrix(q["v"], dim), matrix(x["v"], dim), k + 1, own)
+        at, score = top_k(units(q["v"], dim), units(x["v"], dim), k + 1, own)
         keep = np.isfinite(score)
+        raw, exact = matrix(x["v"], dim), matrix(q["v"], dim)
+        for j in range(at.shape[1]):
+            score[:, j] = cosines(exact, raw[at[:, j]])
         return pd.DataFrame({"query_id": np.repeat(q_ids, at.shape[1])[keep.reshape(-1)], "neighbour_id": ids[at][keep], "score": score[keep]})
 
     hits = queries.groupBy("part", "slot").cogroup(members.groupBy("part", "slot")).applyInPandas(search, "query_id long, neighbour_id long, score double")

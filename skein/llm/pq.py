@@ -12,7 +12,7 @@ All three tests are inequalities that hold for every true pair, so none is lost.
 Each pair is looked for from one side: from the vector of the lesser list, or in one list
 from the lesser id.
 
-Defined results: rows that are no usable vector (see `vectors.unit_vectors`) have no pair;
+Defined results: rows that are no usable vector (see `vectors.usable_vectors`) have no pair;
 equal ids are one vector; a table with fewer than two vectors gives none.
 """
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialise
-from skein.llm.vectors import kmeans, matrix, sample, unit_vectors
+from skein.llm.vectors import cosines, kmeans, matrix, sample, units, usable_vectors
 
 THRESHOLD = 0.95
 ROWS_PER_LIST, MAX_LISTS = 1_024, 1_024
@@ -86,7 +86,7 @@ def train(vectors: DataFrame, dim: int, n: int) -> Quantiser:
 def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, cosine to six decimals) of all pairs a < b with cosine at least threshold."""
     spark = table.sparkSession
-    found, dim = unit_vectors(table)
+    found, dim = usable_vectors(table)
     vectors = materialise(found)
     n = vectors.count()
     if n < 2:
@@ -99,7 +99,7 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = matrix(b.column(1), dim)
+            x = units(b.column(1), dim)
             d = pq.coarse_distances(x)
             home = d.argmin(1)
             codes, error = pq.encode(x, home)
@@ -117,7 +117,7 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, home = matrix(b.column(1), dim), b.column(2).to_numpy()
+            x, home = units(b.column(1), dim), b.column(2).to_numpy()
             d = pq.coarse_distances(x)
             own = d[np.arange(len(x)), home][:, None]
             apart = np.maximum(between[home][:, lists], 1e-9)
@@ -140,7 +140,7 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             c = int(y["list"].iloc[0])
             codes = np.frombuffer(b"".join(y["code"]), np.uint8).reshape(len(y), -1)
             error, ids = y["error"].to_numpy(), y["vec_id"].to_numpy()
-            x, q_ids, at_home = matrix(q["v"], dim), q["vec_id"].to_numpy(), q["home"].to_numpy() == c
+            x, q_ids, at_home = units(q["v"], dim), q["vec_id"].to_numpy(), q["home"].to_numpy() == c
             limit = ((reach + error) ** 2 + SLACK).astype(np.float32)
             step = max(1, BLOCK // len(y))
             for i in range(0, len(q), step):
@@ -162,10 +162,9 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def rerank(batches):
         for b in batches:
-            x, y = matrix(b.column(2), dim).astype(np.float64), matrix(b.column(3), dim).astype(np.float64)
-            cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)) if len(x) else np.zeros(0)
+            cosine = cosines(matrix(b.column(2), dim), matrix(b.column(3), dim))
             keep = pa.array(cosine >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(np.round(np.minimum(cosine, 1.0), 6)).filter(keep)], names=["a", "b", "cosine"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(np.round(cosine, 6)).filter(keep)], names=["a", "b", "cosine"])
 
     left, right = (vectors.select(F.col("vec_id").alias(i), F.col("v").alias(f"v{i}")) for i in ("a", "b"))
     return candidates.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(rerank, RESULT)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def unit_vectors(table: DataFrame, dim: int | None = None) -> tuple[DataFrame, int]:
-    """((vec_id, v), dim): one unit vector of float32 bytes for each id.
+def usable_vectors(table: DataFrame, dim: int | None = None) -> tuple[DataFrame, int]:
+    """((vec_id, v), dim): one usable vector, as float32 bytes, for each id.
 
     Left out: null ids, null or empty vectors, vectors with a null, NaN or infinite element,
     of another dimension than most, or of norm 0. Of rows with one id the least vector stays.
@@ -27,23 +27,33 @@ def unit_vectors(table: DataFrame, dim: int | None = None) -> tuple[DataFrame, i
             x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             norm = np.linalg.norm(x, axis=1)
             good = np.isfinite(norm) & (norm > 0)
-            unit = (x[good] / norm[good, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in unit], pa.binary())], names=["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in x[good].astype(np.float32)], pa.binary())], names=["vec_id", "v"])
 
     fine = raw.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda e: e.isNull()))
     return fine.mapInArrow(run, "vec_id long, v binary").groupBy("vec_id").agg(F.min("v").alias("v")), dim
 
 
 def matrix(column, dim: int) -> np.ndarray:
-    """The rows of a binary column (Arrow or pandas) as a float32 matrix."""
+    """The rows of a binary column (Arrow or pandas) as they are stored, in float64."""
     values = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else list(column)
-    return np.frombuffer(b"".join(values), np.float32).reshape(-1, dim)
+    return np.frombuffer(b"".join(values), np.float32).reshape(-1, dim).astype(np.float64)
+
+
+def units(column, dim: int) -> np.ndarray:
+    """The rows scaled to length 1, in float32, for searching."""
+    x = matrix(column, dim)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows with rows, in float64."""
+    return np.clip((x * y).sum(-1) / np.sqrt((x * x).sum(-1) * (y * y).sum(-1)), -1.0, 1.0)
 
 
 def sample(vectors: DataFrame, rows: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of at most `rows` vectors, those with the smallest hash of their id."""
+    """(ids, unit vectors) of at most `rows` vectors, those with the smallest hash of their id."""
     got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toPandas()
-    return got["vec_id"].to_numpy(np.int64), matrix(got["v"], dim)
+    return got["vec_id"].to_numpy(np.int64), units(got["v"], dim)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
