@@ -225,16 +225,38 @@ def similarity(a, b):
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.greatest(F.size(union), F.lit(1))
 
 
+def verified_edges(nodes: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """(a, b): node pairs with similar sketches, enough of them to link every group.
+
+    nodes: fp, node, sketch; pairs: fingerprints p < q within the bit limit. In a group of
+    thousands nearly all pairs are candidates, but its components need few of them: first
+    each node is verified against its least neighbour only, then, of all candidates, those
+    that these edges don't already connect. The sketches travel with these alone.
+    """
+    named = nodes.select("fp", "node")
+    twins = named.alias("x").join(named.alias("y"), "fp").where("x.node < y.node").selectExpr("x.node AS a", "y.node AS b")
+    ends = pairs.join(named.select(F.col("fp").alias("p"), F.col("node").alias("a")), "p").join(named.select(F.col("fp").alias("q"), F.col("node").alias("b")), "q")
+    near = materialise(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(twins))
+
+    def verify(some: DataFrame) -> DataFrame:
+        left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+        right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+        return some.join(left, "a").join(right, "b").where(similarity(F.col("sa"), F.col("sb")) >= similar).select("a", "b")
+
+    first = materialise(verify(near.groupBy("b").agg(F.min("a").alias("a"))))
+    linked = components(first)
+    of = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    rest = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    return first.unionByName(verify(rest.select("a", "b")))
+
+
 def near_duplicates(docs: DataFrame, tau: int = TAU, similar: float = SIMILAR) -> DataFrame:
     """doc_id, group_id (the least doc_id of its group), duplicate, for every row."""
     table = materialise(sketch_table(docs))
     named = table.where("doc_id IS NOT NULL AND fp IS NOT NULL")
     nodes = materialise(named.groupBy("fp", F.xxhash64("sketch").alias("sig")).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     pairs = candidate_pairs(nodes.select("fp").distinct(), tau)
-    side = lambda x, fp: nodes.select(F.col("fp").alias(fp), F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
-    other = pairs.join(side("a", "p"), "p").join(side("b", "q"), "q")
-    twins = nodes.select("fp", "node", "sketch").alias("x").join(nodes.select("fp", "node", "sketch").alias("y"), "fp").where("x.node < y.node").selectExpr("x.node AS a", "x.sketch AS sa", "y.node AS b", "y.sketch AS sb")
-    edges = other.select("a", "sa", "b", "sb").unionByName(twins).where(similarity(F.col("sa"), F.col("sb")) >= similar).select("a", "b")
+    edges = verified_edges(nodes, pairs, similar)
     groups = components(edges)
     node_of = named.select("doc_id", "fp", F.xxhash64("sketch").alias("sig")).join(nodes.select("fp", "sig", "node"), ["fp", "sig"]).join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group_id"))
     rest = table.where("doc_id IS NULL OR fp IS NULL").select("doc_id", F.col("doc_id").alias("group_id"))
