@@ -37,6 +37,7 @@ SKETCH, SIMILAR = 48, 0.35
 PARTITIONS = (4, 5, 6, 8)
 MAX_RADIUS = 3
 SLICE_BYTES = 1 << 20
+BROADCAST_IDS = 4_000_000  # up to so many ids go to every task, more are joined by shuffling documents
 PROBE_COST = 40  # of shuffling one probe, in verified candidates
 
 
@@ -271,10 +272,12 @@ def deduplicate(docs: DataFrame, tau: int = TAU, similar: float = SIMILAR) -> Da
     """
     found = materialise(near_duplicates(docs, tau, similar))
     counts = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("duplicate").alias("duplicate"))
-    drop = counts.where("duplicate").select("doc_id")
+    drop = materialise(counts.where("duplicate").select(F.col("doc_id").alias("_gone")))
+    if drop.count() <= BROADCAST_IDS:  # then no text is shuffled
+        drop = F.broadcast(drop)
     repeated = materialise(counts.where("rows > 1 AND NOT duplicate").select("doc_id"))
     names = docs.columns
-    stay = docs.join(drop.withColumnRenamed("doc_id", "_gone"), F.expr("CAST(doc_id AS LONG)") == F.col("_gone"), "left_anti")
+    stay = docs.join(drop, F.expr("CAST(doc_id AS LONG)") == F.col("_gone"), "left_anti")
     if repeated.isEmpty():
         return stay.select(names)
     again = repeated.withColumnRenamed("doc_id", "_again")
