@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; only for candidate pairs."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def sequence_ratio(a, b):
+    """Ratcliff-Obershelp similarity of two text columns; only for candidate pairs."""
+    return F.pandas_udf(_ratios, "double")(a, b)
 
 
 def balanced(text: str) -> str | None:
@@ -54,11 +57,15 @@ def repair(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def repair_json(text: pd.Series) -> pd.Series:
+def _repaired(text: pd.Series) -> pd.Series:
     return text.map(repair)
 
 
+def repair_json(text):
+    """A column of model answers as strict JSON; null where there is none."""
+    return F.pandas_udf(_repaired, "string")(text)
+
+
 def chunk_text(text: str, max_chars: int = 1800, overlap: int = 200, max_chunks: int = 20) -> list[str]:
     """Windows that end at the last white space of their final 120 characters where there is one."""
     out, start, n = [], 0, len(text)
@@ -80,8 +87,7 @@ def chunk_text(text: str, max_chars: int = 1800, overlap: int = 200, max_chunks:
 def chunks(max_chars: int = 1800, overlap: int = 200, max_chunks: int = 20):
     """A function of a text column that gives its chunks, in order."""
 
-    @F.pandas_udf("array<string>")
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: chunk_text(t or "", max_chars, overlap, max_chunks))
 
-    return run
+    return F.pandas_udf(run, "array<string>")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from skein.functions import vector as V
 from skein.sources.storage import materialise
 
 MAX_BROADCAST_EDGES = 5_000_000
+LOCAL_EDGES = 200_000  # loops over so few edges run on the driver's arrays; more stay distributed
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -40,6 +42,20 @@ def topic_graph(centroids: DataFrame, k: int = 5, least: float = 0.15) -> DataFr
     return undirected(pairs.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) & (F.col("weight") >= least)))
 
 
+def _local(edges: DataFrame, nodes: DataFrame, weight: str):
+    """(node ids, source places, target places, weights) as arrays; edges to unknown nodes are left out."""
+    ids = np.array(sorted(r["node"] for r in nodes.collect()))
+    e = edges.select("src", "dst", weight).toPandas()
+    place = pd.Series(np.arange(len(ids)), index=ids)
+    src, dst = place.reindex(e["src"]).to_numpy(), place.reindex(e["dst"]).to_numpy()
+    good = ~(np.isnan(src.astype(float)) | np.isnan(dst.astype(float)))
+    return ids, src[good].astype(int), dst[good].astype(int), e[weight].to_numpy(float)[good]
+
+
+def _frame(nodes: DataFrame, ids, values, name: str) -> DataFrame:
+    return nodes.sparkSession.createDataFrame(pd.DataFrame({"node": ids, name: values}), f"node {dict(nodes.dtypes)['node']}, {name} double")
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 60, written: int = 10) -> DataFrame:
     """node, rank. Weights share a node's rank out; what dangling nodes hold isn't handed on."""
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -48,6 +64,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
+    if share.count() <= LOCAL_EDGES and n <= LOCAL_EDGES:
+        ids, src, dst, p = _local(share, nodes, "p")
+        r = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            r = (1 - damping) / n + damping * np.bincount(dst, weights=p * r[src], minlength=n)
+        return _frame(nodes, ids, r, "rank")
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(rounds):
         given = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("given"))
@@ -62,6 +84,17 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance:
     edges = materialise(edges.select("src", "dst", F.greatest("weight", F.lit(0.0)).alias("weight")))
     nodes = materialise(nodes.select("node").distinct())
     n = nodes.count()
+    if edges.count() <= LOCAL_EDGES and n <= LOCAL_EDGES:
+        ids, src, dst, w = _local(edges, nodes, "weight")
+        c = np.full(n, 1.0 / max(n, 1) ** 0.5)
+        for _ in range(rounds):
+            new = np.bincount(src, weights=w * c[dst], minlength=n)
+            size = np.sqrt((new * new).sum())
+            new = new / size if size > 0 else new
+            done, c = np.abs(new - c).max(initial=0.0) < tolerance, new
+            if done:
+                break
+        return _frame(nodes, ids, c, "centrality")
     v = materialise(nodes.withColumn("centrality", F.lit(1.0 / max(n, 1) ** 0.5)))
     for _ in range(0, rounds, written):
         start = v

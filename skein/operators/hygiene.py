@@ -91,6 +91,6 @@ def corpus_version(files: DataFrame) -> DataFrame:
     """djb2 modulo 2^64 over "path|vN", joined by two bars in order of path; 128 bits keep the fold exact."""
     joined = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_path", "version"))), lambda s: F.concat(s["file_path"], F.lit("|v"), s["version"].cast("string"))), "||").alias("t"))
     codes = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.ascii(F.substr("t", i, F.lit(1))).cast("decimal(38,0)"))
-    two64 = F.lit(2**64).cast("decimal(38,0)")
+    two64 = F.lit(str(2**64)).cast("decimal(38,0)")
     start = F.lit(5381).cast("decimal(38,0)")
     return joined.select(F.when(F.length("t") == 0, start).otherwise(F.aggregate(codes, start, lambda h, c: ((h * F.lit(33).cast("decimal(4,0)") + c) % two64).cast("decimal(38,0)"))).cast("string").alias("version"))
