@@ -118,6 +118,7 @@ def document_token_counts(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOC
     written = materialise(write_token_files(docs, folder, vocabulary))
     files = written.groupBy("path").agg(F.max("n_bytes").alias("n_bytes"))
     counts = token_counts(files).select("path", "ord", "n_tokens")
-    result = materialise(written.join(counts, ["path", "ord"]).select("doc_id", "n_tokens"))
+    # a sorted merge: both sides hold a row for each document and are never broadcast
+    result = materialise(written.hint("merge").join(counts, ["path", "ord"]).select("doc_id", "n_tokens"))
     remove_path(spark, folder)
     return result
