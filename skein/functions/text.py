@@ -169,7 +169,7 @@ def clean_takeaways(items: Column) -> Column:
 
 def string_list(value: Column) -> Column:
     """A list from text: split at line ends, commas and semicolons."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[\n,;]"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[\n,;]"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def lossy_number(value: Column) -> Column:

@@ -28,7 +28,7 @@ def reference_fields(entries: DataFrame) -> DataFrame:
     blank = lambda c: F.nullif(c, F.lit(""))
     longest = lambda a: F.try_element_at(F.array_sort(a, lambda x, y: F.when(F.length(x) > F.length(y), -1).when(F.length(x) < F.length(y), 1).otherwise(0)), F.lit(1))
     quoted = F.regexp_extract_all(e, F.lit('["“]([^"”]{6,})["”]'), 1)
-    parts = F.filter(F.transform(F.slice(F.split(e, r"\.\s+"), 2, 3), F.trim), lambda s: F.length(s) >= 12)
+    parts = F.filter(F.transform(F.slice(F.split(e, r"\.\s+"), 2, 3), lambda s: F.trim(s)), lambda s: F.length(s) >= 12)
     return entries.select("*", blank(F.regexp_extract(e, T.DOI, 0)).alias("doi"), blank(F.regexp_extract(e, T.URL, 0)).alias("url"), blank(F.regexp_extract(e, T.ARXIV, 0)).alias("arxiv"), blank(F.regexp_extract(e, T.YEAR, 0)).cast("int").alias("year_guess"), F.coalesce(longest(quoted), longest(parts)).alias("title_guess"))
 
 

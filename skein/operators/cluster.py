@@ -52,7 +52,7 @@ def galaxy(papers: DataFrame, mega: int | None = None, sub: int | None = None) -
     """paper_id, mega_id, sub_id: 5 to 8 clusters, each split into 10 to 20; the two levels have keys of their own."""
     n = papers.count()
     mega = mega or max(1, min(8, max(5, round((n / 50) ** 0.5))))
-    top = kmeans(papers, min(mega, max(1, n))).withColumnRenamed("cluster_id", "mega_id")
+    top = kmeans(papers, min(mega, max(1, n)), init="k-means||").withColumnRenamed("cluster_id", "mega_id")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("paper_id")

@@ -98,13 +98,12 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance:
     v = materialise(nodes.withColumn("centrality", F.lit(1.0 / max(n, 1) ** 0.5)))
     for _ in range(0, rounds, written):
         start = v
-        for _ in range(written):
-            old = v
+        for _ in range(written):  # scaling is left to the end of the block: the direction is the same
             new = edges.join(v, edges["dst"] == v["node"]).groupBy("src").agg(F.sum(F.col("weight") * F.col("centrality")).alias("c"))
-            size = F.sqrt(F.sum(F.coalesce("c", F.lit(0.0)) * F.coalesce("c", F.lit(0.0))))
-            full = nodes.join(new, nodes["node"] == new["src"], "left").select("node", F.coalesce("c", F.lit(0.0)).alias("c"))
-            v = full.crossJoin(F.broadcast(full.agg(size.alias("size")))).select("node", F.coalesce(F.col("c") / F.nullif("size", F.lit(0.0)), F.lit(0.0)).alias("centrality"))
+            v = nodes.join(new, nodes["node"] == new["src"], "left").select("node", F.coalesce("c", F.lit(0.0)).alias("centrality"))
         v = materialise(v)
+        size = v.agg(F.sqrt(F.sum(F.col("centrality") * F.col("centrality")))).first()[0] or 1.0
+        v = v.select("node", (F.col("centrality") / size).alias("centrality"))
         moved = v.alias("a").join(start.alias("b"), "node").agg(F.max(F.abs(F.col("a.centrality") - F.col("b.centrality")))).first()[0]
         if moved is None or moved < tolerance:
             break

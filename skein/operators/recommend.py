@@ -216,7 +216,7 @@ def option_list(rows: DataFrame, column: str) -> DataFrame:
 
 def normalised(values: Column) -> Column:
     """Trimmed, blanks dropped, ["Unknown"] if nothing is left."""
-    v = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda s: s != "")
+    v = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(v) > 0, v).otherwise(F.array(F.lit("Unknown")))
 
 
