@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import python as P
 from skein.functions import text as T
-from skein.operators import citations, claims, hygiene, knn, recommend
+from skein.operators import citations, claims, entities, hygiene, knn, recommend
 from skein.plans.registry import query, r6, rounded
 from skein.plans.vectors import SQL_KNN
 from skein.sources.adapters import SQL_TEXTS, papers, read, texts
@@ -246,3 +246,36 @@ def title_similarity(spark, sf_dir):
 @query("""SELECT doc_id AS paper_id, CASE WHEN length(f) <= 80 THEN f ELSE rtrim(substr(f, 1, 79)) || '…' END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)""")
 def clipped_text(spark, sf_dir):
     return texts(spark, sf_dir).select("paper_id", T.clip(F.col("summary"), 80).alias("clipped"))
+
+
+SQL_CAPS = "SELECT doc_id AS paper_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{2,}\\b'))) AS name FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+
+
+@query(f"WITH a AS ({SQL_CAPS}) SELECT paper_id, count(*) AS n FROM a GROUP BY ALL")
+def acronyms(spark, sf_dir):
+    ascii_only = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return ascii_only.select(F.col("doc_id").alias("paper_id"), F.explode(entities.acronyms(F.col("text"))).alias("e")).groupBy("paper_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def entity_adoption(spark, sf_dir):
+    d = texts(spark, sf_dir)
+    return entities.adoption(entities.entities(d.select("paper_id", F.col("summary").alias("text"))), d)
+
+
+@query("""WITH l AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM l WHERE used <= 2000""")
+def context_budget(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text")
+    return entities.context(c, 2_000, "conv_id").select("conv_id", F.col("ord").alias("turn"), "used")
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(['the', 'ing', 'que'], lambda k: NOT contains(lower(text), k)), ',') AS missing FROM conversations")
+def missing_points(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", entities.missing_points(F.col("text"), F.array(F.lit("the"), F.lit("ing")), F.array(F.lit("que"))).alias("missing")).withColumn("missing", F.array_join("missing", ","))
+
+
+@query()
+def flashcards(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.concat(F.when(s["role"] == "user", "Q: ").otherwise("A: "), T.collapse(s["text"]))), "\n").alias("text"))
+    return entities.flashcards(c)
