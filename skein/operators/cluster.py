@@ -223,3 +223,41 @@ def lens_positions(clusters: DataFrame, profile: list[float]) -> DataFrame:
     turn = 2 * np.pi * (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy())
     radius = 0.5 * (1 - (similar + 1) / 2)
     return clusters.select("cluster_id", (0.5 + radius * F.cos(turn)).alias("x"), (0.5 + radius * F.sin(turn)).alias("y"))
+
+
+def layout_grid(papers: DataFrame, distortion: DataFrame, bins: int = 10, top: int = 120) -> DataFrame:
+    """x_bin, y_bin, n, mean distortion of a bins x bins grid over positions (paper_id, x, y), the worst cells first."""
+    span = papers.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    cell = lambda v, a, b: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.coalesce(F.floor((F.col(v) - F.col(a)) / F.nullif(F.col(b) - F.col(a), F.lit(0.0)) * bins), F.lit(0)))).cast("int")
+    placed = papers.crossJoin(F.broadcast(span)).select("paper_id", cell("x", "x0", "x1").alias("x_bin"), cell("y", "y0", "y1").alias("y_bin"))
+    return placed.join(distortion, "paper_id").groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"), F.avg("distortion").alias("mean_distortion")).orderBy(F.desc("mean_distortion"), F.desc("n"), "x_bin", "y_bin").limit(top)
+
+
+def insights(papers: DataFrame, key: str, newest: int = 3) -> DataFrame:
+    """The newest titles of each group, in order."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last("year"), "paper_id")
+    ranked = papers.withColumn("r", F.row_number().over(w)).where(F.col("r") <= newest)
+    return ranked.select(key, "r", "paper_id", "title")
+
+
+def factor_labels(weights: DataFrame, factors: int = 8, top: int = 4, rounds: int = 200, terms: int = 600, seed: int = 3) -> DataFrame:
+    """factor, rank, term: the strongest terms of a non-negative factorisation of (paper_id, term, weight).
+
+    Only the terms x terms products reach the driver: the `terms` most used terms, their Gram matrix
+    summed in Spark; the factors of the Gram matrix by symmetric multiplicative updates.
+    """
+    spark = weights.sparkSession
+    names = [r["term"] for r in weights.groupBy("term").agg(F.sum("weight").alias("s")).orderBy(F.desc("s"), "term").limit(terms).collect()]
+    if not names:
+        return spark.createDataFrame([], "factor int, rank int, term string")
+    place = spark.createDataFrame(list(enumerate(names)), "i int, term string")
+    w = weights.join(F.broadcast(place), "term").select("paper_id", "i", "weight")
+    pairs = w.alias("a").join(w.alias("b"), "paper_id").groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("g")).collect()
+    g = np.zeros((len(names), len(names)))
+    for r in pairs:
+        g[r["i"], r["j"]] = r["g"]
+    h = np.random.default_rng(seed).random((len(names), min(factors, len(names)))) + 0.1
+    for _ in range(rounds):
+        h *= 0.5 + 0.5 * (g @ h) / np.maximum(h @ (h.T @ h), 1e-12)
+    out = [(k, r + 1, names[i]) for k in range(h.shape[1]) for r, i in enumerate(np.argsort(-h[:, k], kind="stable")[:top])]
+    return spark.createDataFrame(out, "factor int, rank int, term string")
