@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.common import slices, text_buffers
+from skein.llm.common import map_texts, slices, text_buffers
 
 RESULT = "doc_id long, n_tokens int, tokens array<int>, round_trip boolean"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -384,4 +384,4 @@ def encode_documents(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULA
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids), mask=pa.array(mask))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(first).astype(np.int32), mask=mask), lists, pa.array(good, mask=mask)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, RESULT)
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, RESULT)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
 
@@ -44,6 +45,23 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def map_texts(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches bounded in bytes, so that long texts don't fill a worker.
+
+    The bound is a session setting; a smaller one of the session's own is kept.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_SETTING)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column without decoding; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import automata
-from skein.llm.common import SEPARATOR, sample_ids, slices, text_buffers, with_separators
+from skein.llm.common import SEPARATOR, map_texts, sample_ids, slices, text_buffers, with_separators
 
 TRAIN_BYTES = 16_384
 DOCS_PER_LANGUAGE = 48
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     [b.column(0).slice(i, j - i), pa.array(names[best], pa.string()), pa.array(phrases), pa.array(letters), rate, pa.array(keep)],
                     names=["doc_id", "language", "phrases", "letters", "rate", "keep"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lower(docs["text"].cast("string")).alias("text")).mapInArrow(run, RESULT)
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.lower(docs["text"].cast("string")).alias("text")), run, RESULT)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -159,4 +159,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:at], names=names).filter(pa.array(mask))
 
     folded = docs.select(*[docs[c] for c in names], F.lower(docs["text"]).alias("_folded_text"))
-    return folded.mapInArrow(run, docs.schema)
+    return map_texts(folded, run, docs.schema)

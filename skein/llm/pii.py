@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.common import slices, text_buffers, with_separators
+from skein.llm.common import map_texts, slices, text_buffers, with_separators
 from skein.llm.tokens import BLANK, WORDY, hash_spans, mix
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN")
@@ -371,4 +371,4 @@ def find_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
             columns = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.float64())))], names=["doc_id", "label", "start_byte", "n_bytes", "probability"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, RESULT)
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, RESULT)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import slices, text_buffers
+from skein.llm.common import map_texts, slices, text_buffers
 from skein.llm.tokens import mix, sum_rows, words
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
@@ -76,7 +76,7 @@ def word_table(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(x, np.float32)
         return pd.DataFrame({"block": pdf["block"][:1], "sums": [total.tobytes()]})
 
-    parts = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(part, "block int, sums binary")
+    parts = map_texts(docs.select(docs["text"].cast("string").alias("text")), part, "block int, sums binary")
     rows = parts.groupBy("block").applyInPandas(add, "block int, sums binary").collect()
     table = np.zeros((BLOCKS, BUCKETS // BLOCKS * (DIM + 1)))
     for r in rows:
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quali
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([v.tobytes() for v in x.astype(np.float64)], pa.binary()), pa.array(n)], names=["doc_id", "x", "n"])
 
     sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(keys, "doc_id", "left_semi")
-    rows = sorted((r["doc_id"], r["x"]) for r in sample.mapInArrow(vectors, "doc_id long, x binary, n long").where("n > 0").collect())
+    rows = sorted((r["doc_id"], r["x"]) for r in map_texts(sample, vectors, "doc_id long, x binary, n long").where("n > 0").collect())
     y = np.array([wanted[i] for i, _ in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return QualityModel(pooling, None)
@@ -218,7 +218,7 @@ def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
                 keep = known & (p >= threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, mask=~known), pa.array(keep)], names=["doc_id", "probability", "keep"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, RESULT)
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, RESULT)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -232,4 +232,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
             p, known = _scores(m, b.column(at))
             yield b if m.network is None else b.filter(pa.array(known & (p >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

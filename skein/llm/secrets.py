@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from skein.llm import automata
-from skein.llm.common import slices, text_buffers, with_separators
+from skein.llm.common import map_texts, slices, text_buffers, with_separators
 
 INNER = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+.-")
 RULES: dict[str, str] = {
@@ -140,7 +140,7 @@ def find_secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFr
                 [ids, pa.array([sc.names[f[1]] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] - f[2] for f in found], pa.int64()), pa.array(prints, pa.string())],
                 names=["doc_id", "rule", "start_byte", "n_bytes", "fingerprint"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, FINDINGS)
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, FINDINGS)
 
 
 def redact(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
@@ -183,7 +183,7 @@ def redact(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
                 columns[at_chars] = pa.compute.replace_with_mask(columns[at_chars], pa.array(mask), chars)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def oracle_sql(rules: dict[str, str] | None = None) -> str:

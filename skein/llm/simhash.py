@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialise, slices, text_buffers
+from skein.llm.common import map_texts, materialise, slices, text_buffers
 from skein.llm.components import components
 from skein.llm.tokens import mix, sum_rows, words
 
@@ -95,7 +95,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp, mask=~known), lists], names=["doc_id", "fp", "sketch"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, sketch array<int>")
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, "doc_id long, fp long, sketch array<int>")
 
 
 def bit_order(fps: DataFrame) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialise, remove_path, scratch_dir
+from skein.llm.common import map_texts, materialise, remove_path, scratch_dir
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -76,7 +76,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = f"{TOKENIZ
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * n, pa.string()), pa.array(np.full(n, written)), pa.array(np.arange(order, order + n)), column], names=["path", "n_bytes", "ord", "doc_id"])
             order += n
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "path string, n_bytes long, ord long, doc_id long")
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, "path string, n_bytes long, ord long, doc_id long")
 
 
 def token_counts(files: DataFrame, eod: int = EOD, dtype: str = DTYPE, block: int = BLOCK) -> DataFrame:
