@@ -33,7 +33,7 @@ def collapse(t: Column) -> Column:
 def tokens(t: Column) -> Column:
     """Lower-case runs of a-z and 0-9 of at least 3 characters, without stop words, in order."""
     stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("[a-z0-9]{3,}"), 0), lambda w: ~F.array_contains(stop, w))
 
 
 def token_set(t: Column) -> Column:

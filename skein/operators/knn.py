@@ -7,21 +7,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vector as V
+from skein.sources.storage import spread
 
 MATRIX_BYTES = 256 << 20  # above this the other side isn't sent to every task
 BLOCK_ROWS = 4_096
 
 
 def _top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of x for each q, best first, ties to the lesser id; ids ascend."""
     out = []
     for i in range(0, len(q), 512):
         s = q[i: i + 512] @ x.T
         s[q_ids[i: i + 512][:, None] == ids[None]] = -np.inf
         m = min(k, len(ids))
-        at = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(m), (len(s), 1))
+        if m + 1 < len(ids):
+            at = np.argpartition(-s, m, axis=1)[:, : m + 1]
+            value = np.take_along_axis(s, at, 1)
+            order = np.lexsort((at, -value), axis=1)
+            at, value = np.take_along_axis(at, order, 1), np.take_along_axis(value, order, 1)
+            for r in np.flatnonzero(value[:, m - 1] == value[:, m]):  # a tie across the cut
+                at[r] = np.argsort(-s[r], kind="stable")[: m + 1]
+            at = at[:, :m]
+        else:
+            at = np.argsort(-s, axis=1, kind="stable")[:, :m]
         score = np.take_along_axis(s, at, 1)
-        out.append(pd.DataFrame({"src": np.repeat(q_ids[i: i + 512], m), "dst": ids[at].reshape(-1), "score": score.reshape(-1)}))
-    got = pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "score": []})
+        out.append(pd.DataFrame({"src": np.repeat(q_ids[i: i + 512], m), "dst": ids[at].reshape(-1), "rank": np.tile(np.arange(1, m + 1, dtype=np.int32), len(s)), "score": score.reshape(-1)}))
+    got = pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "rank": [], "score": []})
     return got[np.isfinite(got["score"])]
 
 
@@ -50,9 +61,10 @@ def knn(papers: DataFrame, k: int = 8) -> DataFrame:
         def local(batches):
             x, ids = shared.value
             for b in batches:
-                yield _top(x, ids, _unit(b["embedding"]), b["paper_id"].to_numpy(), k + 1)
+                yield _top(x, ids, _unit(b["embedding"]), b["paper_id"].to_numpy(), k)
 
-        hits = v.repartition(spark.sparkContext.defaultParallelism).mapInPandas(local, "src long, dst long, score double")
+        # every task sees all vectors, so its ranks are final
+        return spread(v).mapInPandas(local, "src long, dst long, rank int, score double")
     else:
         blocks = -(-n // BLOCK_ROWS)
         side = F.pmod(F.xxhash64("paper_id"), F.lit(blocks)).cast("int")
@@ -64,7 +76,7 @@ def knn(papers: DataFrame, k: int = 8) -> DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"src": [], "dst": [], "score": []})
             b = b.sort_values("paper_id")
-            return _top(_unit(b["embedding"]), b["paper_id"].to_numpy(), _unit(a["embedding"]), a["paper_id"].to_numpy(), k + 1)
+            return _top(_unit(b["embedding"]), b["paper_id"].to_numpy(), _unit(a["embedding"]), a["paper_id"].to_numpy(), k).drop(columns="rank")
 
         hits = q.groupBy("i", "j").cogroup(x.groupBy("i", "j")).applyInPandas(pair, "src long, dst long, score double")
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.storage import spread
+
 EVENT_TYPES = {"view": "opened", "click": "note_saved", "purchase": "rec_helpful", "error": "rec_not_helpful", "signup": "qa_question"}
 
 
@@ -21,7 +23,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """paper_id, title (the first line), summary, topic, lang, year."""
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), F.col("source").alias("topic"), "lang", (F.lit(2000) + F.col("doc_id") % 20).cast("int").alias("year"))
+    return spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("paper_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), F.col("source").alias("topic"), "lang", (F.lit(2000) + F.col("doc_id") % 20).cast("int").alias("year"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,3 +20,17 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+TINY_BYTES = 4 << 20  # per core
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is so small that its files leave most of them idle; else as it is.
+
+    The size is the planner's estimate, so nothing is read for it; a table of more than
+    TINY_BYTES a core is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * TINY_BYTES else df
