@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.storage import spread
+
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
@@ -48,7 +50,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def map_texts(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow(f, schema) with batches bounded in bytes, so that long texts don't fill a worker.
 
-    The bound is a session setting; a smaller one of the session's own is kept.
+    The bound is a session setting; a smaller one of the session's own is kept. Tables too
+    small for their files to occupy all cores are spread over them.
     """
     conf = df.sparkSession.conf
     now = conf.get(BATCH_SETTING)
@@ -59,7 +62,7 @@ def map_texts(df: DataFrame, f, schema) -> DataFrame:
         yield from f(batches)
         pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

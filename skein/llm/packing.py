@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialise
+from skein.sources.storage import spread
 
 BUCKETS = 16
 BUDGET = 32_768
@@ -66,7 +67,7 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket (its bound), batch (0, 1, ... in the bucket) for every row."""
-    spark = docs.sparkSession
+    docs = spread(docs)
     count = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(r"\S+")), F.lit(0))
     sized = materialise(docs.select(docs["doc_id"].cast("long").alias("doc_id"), count.cast("long").alias("n_tokens")))
     histogram = sized.where("n_tokens > 0").groupBy("n_tokens").count().orderBy("n_tokens").toPandas()
