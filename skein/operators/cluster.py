@@ -261,3 +261,16 @@ def factor_labels(weights: DataFrame, factors: int = 8, top: int = 4, rounds: in
         h *= 0.5 + 0.5 * (g @ h) / np.maximum(h @ (h.T @ h), 1e-12)
     out = [(k, r + 1, names[i]) for k in range(h.shape[1]) for r, i in enumerate(np.argsort(-h[:, k], kind="stable")[:top])]
     return spark.createDataFrame(out, "factor int, rank int, term string")
+
+
+def neighbour_overlap(high: DataFrame, low: DataFrame, k: int) -> DataFrame:
+    """id, overlap, distortion of clusters: shared k nearest between two spaces (cluster_id, centroid) by distance."""
+
+    def near(space: DataFrame) -> DataFrame:
+        a, b = space.alias("a"), space.alias("b")
+        d = a.join(b, F.col("a.cluster_id") != F.col("b.cluster_id")).select(F.col("a.cluster_id").alias("cluster_id"), F.col("b.cluster_id").alias("other"), V.distance(F.col("a.centroid"), F.col("b.centroid")).alias("d"))
+        w = Window.partitionBy("cluster_id").orderBy("d", "other")
+        return d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("cluster_id").agg(F.collect_set("other").alias("near"))
+
+    both = near(high).join(near(low).withColumnRenamed("near", "there"), "cluster_id")
+    return both.select("cluster_id", (F.size(F.array_intersect("near", "there")) / F.lit(k)).alias("overlap")).withColumn("distortion", 1 - F.col("overlap"))

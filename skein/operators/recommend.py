@@ -242,3 +242,28 @@ def cluster_keywords(texts: DataFrame, key: str, tokens: Column, top: int = 4) -
     w = Window.partitionBy(key).orderBy(F.desc("n"), "word")
     ranked = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda s: s["word"]).alias("words"))
     return ranked.select(key, F.array_join("words", ",").alias("keywords"), F.initcap(F.array_join(F.slice("words", 1, 3), " ")).alias("name"))
+
+
+def knowledge_snapshot(papers: DataFrame, read: DataFrame, topic: list[float], top: int = 5) -> DataFrame:
+    """kind (known or unread), rank, paper_id, score: the papers nearest a topic vector among each kind."""
+    t = F.array(*[F.lit(float(x)) for x in topic])
+    kind = F.when(F.col("_read").isNotNull(), "known").otherwise("unread")
+    scored = papers.join(read.select("paper_id", F.lit(1).alias("_read")), "paper_id", "left").select("paper_id", kind.alias("kind"), V.cosine(F.col("embedding"), t).alias("score"))
+    w = Window.partitionBy("kind").orderBy(F.desc("score"), "paper_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def pinned_first(clusters: DataFrame) -> DataFrame:
+    """Pinned clusters first, then by id."""
+    return clusters.orderBy(F.desc(F.coalesce("pinned", F.lit(False))), "cluster_id")
+
+
+def papers_of(clusters: DataFrame, papers: DataFrame) -> DataFrame:
+    """Papers of each subtopic with its parent, the newest first: clusters (cluster_id, parent_id)."""
+    w = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("year"), "paper_id")
+    return papers.join(clusters.select("cluster_id", "parent_id"), "cluster_id").select("parent_id", "cluster_id", "paper_id", F.row_number().over(w).alias("place"))
+
+
+def average_degree(degree: DataFrame, papers: DataFrame) -> DataFrame:
+    """Mean degree of each cluster's papers; those without one are left out."""
+    return papers.join(degree, "paper_id").groupBy("cluster_id").agg(F.avg("degree").alias("mean_degree"))

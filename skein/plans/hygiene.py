@@ -131,3 +131,34 @@ def summary_document(spark, sf_dir):
 def pareto_orders(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_totalprice").alias("novelty"), (F.col("o_custkey") % 997).cast("double").alias("consensus"))
     return recommend.pareto(o)
+
+
+@query(f"""WITH {SQL_PAPERS}, t AS (SELECT embedding AS t FROM papers WHERE paper_id = 4), s AS (SELECT paper_id, CASE WHEN paper_id % 10 = 0 THEN 'known' ELSE 'unread' END AS kind, list_cosine_similarity(embedding, t) AS c FROM papers, t)
+SELECT kind, paper_id, {r6('c')} AS score, CAST(row_number() OVER (PARTITION BY kind ORDER BY c DESC, paper_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def knowledge_snapshot(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    topic = p.where("paper_id = 4").first()["embedding"]
+    return rounded(recommend.knowledge_snapshot(p, p.where("paper_id % 10 = 0"), topic), "score")
+
+
+@query(f"WITH {SQL_PAPERS} SELECT CAST(cluster_id % 3 AS INTEGER) AS parent_id, cluster_id, paper_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY year DESC, paper_id) AS INTEGER) AS place FROM papers")
+def subtopic_papers(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return recommend.papers_of(p.select("cluster_id", (F.col("cluster_id") % 3).alias("parent_id")).distinct(), p)
+
+
+@query(f"WITH {SQL_KNN}, d AS (SELECT src AS paper_id, round(sum(score), 6) AS degree FROM kn GROUP BY ALL) SELECT cluster_id, {r6('avg(degree)')} AS mean_degree FROM papers JOIN d USING (paper_id) GROUP BY ALL")
+def average_degree(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return rounded(recommend.average_degree(graph.weighted_degree(knn.knn(p)), p), "mean_degree")
+
+
+@query(f"""WITH {SQL_PAPERS}, el AS (SELECT cluster_id, i, avg(x) AS m FROM (SELECT cluster_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM papers) GROUP BY ALL), c AS (SELECT cluster_id, list(m ORDER BY i) AS h FROM el GROUP BY ALL),
+nh AS (SELECT a.cluster_id, b.cluster_id AS o FROM c a JOIN c b ON a.cluster_id <> b.cluster_id QUALIFY row_number() OVER (PARTITION BY a.cluster_id ORDER BY list_distance(a.h, b.h), b.cluster_id) <= 4),
+nl AS (SELECT a.cluster_id, b.cluster_id AS o FROM c a JOIN c b ON a.cluster_id <> b.cluster_id QUALIFY row_number() OVER (PARTITION BY a.cluster_id ORDER BY list_distance(a.h[1:2], b.h[1:2]), b.cluster_id) <= 4)
+SELECT c.cluster_id, {r6('count(nl.o) / 4')} AS overlap, {r6('1 - count(nl.o) / 4')} AS distortion FROM c LEFT JOIN nh ON nh.cluster_id = c.cluster_id LEFT JOIN nl ON nl.cluster_id = nh.cluster_id AND nl.o = nh.o GROUP BY c.cluster_id""")
+def cluster_map_quality(spark, sf_dir):
+    from skein.operators import novelty
+
+    c = novelty.centroid_mean(papers(spark, sf_dir))
+    return rounded(cluster.neighbour_overlap(c, c.select("cluster_id", F.slice("centroid", 1, 2).alias("centroid")), 4), "overlap", "distortion")
