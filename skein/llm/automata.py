@@ -134,6 +134,30 @@ def _reverse(node):
     return (kind, parts[::-1] if kind == "seq" else parts)
 
 
+def _nullable(node) -> bool:
+    kind = node[0]
+    if kind == "rep":
+        return node[2] == 0 or _nullable(node[1])
+    return kind != "set" and (any if kind == "alt" else all)(map(_nullable, node[1]))
+
+
+def _counts(node) -> bool:
+    """Whether something in it can be repeated."""
+    kind = node[0]
+    if kind == "rep":
+        return node[3] != 1 or _counts(node[1])
+    return kind != "set" and any(map(_counts, node[1]))
+
+
+def _head(tree):
+    """What a match must begin with: up to the first repetition after a part that isn't empty."""
+    parts = tree[1] if tree[0] == "seq" else [tree]
+    for i in range(1, len(parts)):
+        if _counts(parts[i]) and not all(map(_nullable, parts[:i])):
+            return ("seq", parts[:i])
+    return tree
+
+
 class _Nfa:
     def __init__(self):
         self.eps: list[list[int]] = []
@@ -199,19 +223,20 @@ class Machine:
         return len(self.trans) // self.classes
 
 
-def compile_rules(patterns: list[str], inner: frozenset = frozenset(), anchored: bool = False, backwards: bool = False, max_states: int = 50_000) -> Machine:
+def compile_rules(patterns: list[str], inner: frozenset = frozenset(), anchored: bool = False, backwards: bool = False, heads: bool = False, max_states: int = 50_000) -> Machine:
     """One minimal automaton for all patterns, for matches anywhere in a text.
 
     inner: a match begins at the start of a text or after a byte that is not in this set.
-    With the bytes of every counted repetition in it, no rule can begin inside another
-    one's repetition, so the counters of rules don't multiply into a product of states.
     anchored: matches begin at the start only. backwards: for the reversed words.
+    heads: for what the patterns' matches begin with (see `_head`). Rules that can begin
+    inside another one's counted repetition multiply their counters into a product of
+    states; heads have no counters.
     """
     nfa = _Nfa()
     start = nfa.state()
     accept_of: dict[int, int] = {}
     for k, p in enumerate(patterns):
-        tree = _Parser(p).parse()
+        tree = _head(_Parser(p).parse()) if heads else _Parser(p).parse()
         s = nfa.state()
         nfa.eps[start].append(s)
         end = nfa.build(_reverse(tree) if backwards else tree, s)

@@ -1,11 +1,12 @@
 """Operator 2, secret scans: all rules as one automaton, one pass over the bytes.
 
-The rules' regexes are compiled together by subset construction and minimised into one
-transition array; every text is read once, many chunks at a time. Only where the automaton
-accepts are the ends of a match found: its start with the rule's reversed automaton, its
-longest end with the rule's own. Matches of one rule don't overlap: the leftmost comes
-first, of those the longest. Rules are over bytes; a match begins at the start of the text
-or after a byte outside INNER.
+What the rules' matches begin with is compiled together by subset construction and minimised
+into one transition array; every text is read once, many chunks at a time. Only where the
+automaton accepts is the whole rule tried: a beginning's start is found with its reversed
+automaton, the longest end with the rule's own. Matches of one rule don't overlap: the
+leftmost comes first, of those the longest. Rules are over bytes; a match begins at the start
+of the text or after a byte outside INNER, letters and digits, so that a key may follow a path
+or joiner. An assigned secret's keyword may be any part of a name (DB_PASSWORD, SECRET_KEY).
 
 Defined results: a null or empty text has no finding; a null doc_id stays null; repeated
 rows are each scanned; other columns are ignored (`find_secrets`) or kept (`redact`).
@@ -13,7 +14,7 @@ rows are each scanned; other columns are ignored (`find_secrets`) or kept (`reda
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from skein.llm import automata
 from skein.llm.common import map_texts, slices, text_buffers, with_separators
 
-INNER = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+.-")
+INNER = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 RULES: dict[str, str] = {
-    "assigned_secret": r"""(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)["']?[ \t]*[:=][ \t]*["']?[A-Za-z0-9/+_.-]{16,}""",
+    "assigned_secret": r"""(?i)[A-Za-z0-9_.-]*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[A-Za-z0-9_.-]*["']?[ \t]*[:=][ \t]*["']?[A-Za-z0-9/+_.-]{16,}""",
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "gitlab_token": r"glpat-[A-Za-z0-9_-]{20,}",
@@ -45,22 +46,33 @@ class Scanner:
     def __init__(self, rules: dict[str, str]):
         self.names = list(rules)
         patterns = list(rules.values())
-        self.all = automata.compile_rules(patterns, INNER)
-        self.back = [automata.compile_rules([p], anchored=True, backwards=True) for p in patterns]
+        self.all = automata.compile_rules(patterns, INNER, heads=True)
+        self.back = [automata.compile_rules([p], anchored=True, backwards=True, heads=True) for p in patterns]
         self.ahead = [automata.compile_rules([p], anchored=True) for p in patterns]
         self.sinks = [(automata.sink(b), automata.sink(a)) for b, a in zip(self.back, self.ahead)]
 
-    def _starts(self, k: int, data: np.ndarray, end: int, low: int) -> int:
-        """Leftmost start, not below low, of a match of rule k that ends at `end`; -1 if none."""
-        m, found = self.back[k], -1
-        state = m.start
-        for i in range(end - 1, low - 1, -1):
-            state = int(m.trans[state + int(m.byte_class[data[i]])])
-            if state == self.sinks[k][0]:
-                break
-            if state < m.flagged and (i == 0 or data[i - 1] not in INNER):
-                found = i
-        return found
+    def _starts(self, k: int, data: np.ndarray, ends: list[int], low: int) -> list[tuple[int, int]]:
+        """(leftmost start, not below low, of a beginning of rule k; its end) for each end that has one."""
+        m, out = self.back[k], []
+        path: dict[tuple[int, int], int] = {}  # where an earlier way back came by in the same state, the rest is known
+        leftmost: list[int] = []
+        for n, end in enumerate(ends):
+            found, state = -1, m.start
+            for i in range(end - 1, low - 1, -1):
+                state = int(m.trans[state + int(m.byte_class[data[i]])])
+                way = path.setdefault((i, state), n)
+                if way != n:
+                    if 0 <= leftmost[way] <= i:
+                        found = leftmost[way]
+                    break
+                if state == self.sinks[k][0]:
+                    break
+                if state < m.flagged and (i == 0 or data[i - 1] not in INNER):
+                    found = i
+            leftmost.append(found)
+            if found >= 0:
+                out.append((found, end))
+        return out
 
     def _longest(self, k: int, data: np.ndarray, start: int) -> int:
         m, found = self.ahead[k], start
@@ -74,24 +86,25 @@ class Scanner:
         return found
 
     def matches(self, k: int, data: np.ndarray, ends: list[int]) -> list[tuple[int, int]]:
-        """Non-overlapping (start, end) of rule k, given all positions where it can end."""
-        out, cur, at = [], 0, 0
-        while at < len(ends):
-            best = None
-            for j in range(at, len(ends)):
-                if best is not None and ends[j] > best[1]:
-                    break
-                if j > at and ends[j] == ends[j - 1] + 1:
-                    continue  # a longer end of the same run
-                s = self._starts(k, data, ends[j], cur)
-                if s >= 0 and (best is None or s < best[0]):
-                    best = (s, self._longest(k, data, s))
-            if best is None:
-                at += 1
-                continue
-            out.append(best)
-            cur = best[1]
-            at = bisect_left(ends, cur + 1, at)
+        """Non-overlapping (start, end) of rule k, given all positions where a beginning can end."""
+        out, cur, failed = [], 0, -1
+        todo = self._starts(k, data, ends, 0)
+        heapq.heapify(todo)
+        while todo:
+            s, end = heapq.heappop(todo)
+            if s < cur:  # one match went over the start; the beginnings left may have later ones
+                late = [end]
+                while todo and todo[0][0] < cur:
+                    late.append(heapq.heappop(todo)[1])
+                for x in self._starts(k, data, sorted(e for e in late if e > cur), cur):
+                    heapq.heappush(todo, x)
+            elif s != failed:
+                t = self._longest(k, data, s)
+                if t > s:
+                    out.append((s, t))
+                    cur = t
+                else:
+                    failed = s
         return out
 
     def scan(self, offsets: np.ndarray, raw: np.ndarray):
