@@ -7,6 +7,7 @@ automaton, the longest end with the rule's own. Matches of one rule don't overla
 leftmost comes first, of those the longest. Rules are over bytes; a match begins at the start
 of the text or after a byte outside INNER, letters and digits, so that a key may follow a path
 or joiner. An assigned secret's keyword may be any part of a name (DB_PASSWORD, SECRET_KEY).
+A private key goes to its END line; where that is missing, over the body lines there are.
 
 Defined results: a null or empty text has no finding; a null doc_id stays null; repeated
 rows are each scanned; other columns are ignored (`find_secrets`) or kept (`redact`).
@@ -26,6 +27,8 @@ from skein.llm import automata
 from skein.llm.common import map_texts, slices, text_buffers, with_separators
 
 INNER = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_KEY = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_LINE = r"[ \t]*(?:(?:\r|\n|\\r|\\n)[ \t>]*)+(?:(?:-?[A-Za-z])+:(?:-?[\t -,.-\[\]-~])*|[A-Za-z0-9+/=]+)"  # a header field or base64, after a line end or an escaped one
 RULES: dict[str, str] = {
     "assigned_secret": r"""(?i)[A-Za-z0-9_.-]*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[A-Za-z0-9_.-]*["']?[ \t]*[:=][ \t]*["']?[A-Za-z0-9/+_.-]{16,}""",
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
@@ -33,7 +36,7 @@ RULES: dict[str, str] = {
     "gitlab_token": r"glpat-[A-Za-z0-9_-]{20,}",
     "google_api_key": r"AIza[0-9A-Za-z_-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "private_key": rf"-----BEGIN {_KEY}(?:(?:-?[\t\n\r -,.-~])*-----END {_KEY}|(?:{_LINE})*)",
     "slack_token": r"xox[abprs]-[0-9A-Za-z-]{10,}",
     "stripe_key": r"[sr]k_live_[0-9A-Za-z]{24,}",
     "url_credentials": r"(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.-]+:[A-Za-z0-9_.!$%^&*+-]{3,}@",
