@@ -7,7 +7,7 @@ from its own and its neighbours' partitions; it assigns every vector to the part
 finds most probable and routes every query to the most probable several. How many those
 are is measured, not assumed: for held-out queries the exact neighbours among all vectors
 are found, and the fewest probes are taken that reach `RECALL` of them. Inside the probed
-partitions scores are exact, so the only loss is a neighbour in a partition not probed.
+partitions scores and the order of ties are exact, so the only loss is a neighbour in a partition not probed.
 
 Every row is a query. Defined results: rows that are no usable vector (see
 `vectors.usable_vectors`) have no neighbours and are none; the vector itself isn't its own
@@ -55,6 +55,37 @@ def top_k(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None) -
     return at, best
 
 
+def best_cosines(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, position, cosine) of the k best rows of x for each query, of equal cosines the first.
+
+    float32 scores only choose candidates: all within their rounding of the k-th best. Of equal
+    rows of x no more than the first k + 1 can be neighbours, one of which may be the query.
+    """
+    _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).reshape(-1), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    sizes = np.bincount(group)
+    copy = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = np.sort(order[copy <= k])
+    place = np.full(len(x) + 1, -1)  # the last one is that of own = -1
+    place[kept] = np.arange(len(kept))
+    x, own = x[kept], place[own]
+    near, far = [(v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) for v in (q, x)]
+    slack = np.float32((x.shape[1] + 4) * 2.0**-23)
+    step, piece, out = max(1, BLOCK // len(x)), max(1, BLOCK // x.shape[1]), []
+    for i in range(0, len(q), step):
+        s = near[i: i + step] @ far.T
+        rows = np.flatnonzero(own[i: i + step] >= 0)
+        s[rows, own[i: i + step][rows]] = -np.inf
+        least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] - slack if k < len(x) else np.full(len(s), -np.inf, np.float32)
+        row, at = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        score = np.concatenate([np.empty(0), *(cosines(q[i + row[j: j + piece]], x[at[j: j + piece]]) for j in range(0, len(row), piece))])
+        order = np.lexsort((at, -score, row))
+        row, at, score = row[order], at[order], score[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((i + row[top], kept[at[top]], score[top]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def bisect(graph: np.ndarray, weight: np.ndarray, nodes: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
     """Two halves of nodes with few edges between them; graph: neighbours of each node."""
     n = len(nodes)
@@ -220,12 +251,8 @@ def nearest(table: DataFrame, k: int = K) -> DataFrame:
         q_ids = q["vec_id"].to_numpy()
         place = np.searchsorted(ids, q_ids)
         own = np.where((place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == q_ids), place, -1)
-        at, score = top_k(units(q["v"], dim), units(x["v"], dim), k + 1, own)
-        keep = np.isfinite(score)
-        raw, exact = matrix(x["v"], dim), matrix(q["v"], dim)
-        for j in range(at.shape[1]):
-            score[:, j] = cosines(exact, raw[at[:, j]])
-        return pd.DataFrame({"query_id": np.repeat(q_ids, at.shape[1])[keep.reshape(-1)], "neighbour_id": ids[at][keep], "score": score[keep]})
+        row, at, score = best_cosines(matrix(q["v"], dim), matrix(x["v"], dim), k, own)
+        return pd.DataFrame({"query_id": q_ids[row], "neighbour_id": ids[at], "score": score})
 
     hits = queries.groupBy("part", "slot").cogroup(members.groupBy("part", "slot")).applyInPandas(search, "query_id long, neighbour_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")

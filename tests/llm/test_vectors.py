@@ -71,3 +71,21 @@ def test_ties_and_repeated_rows(spark):
     assert [(r["a"], r["b"]) for r in pq.near_pairs(t).orderBy("a", "b").collect()] == [(0, 1), (0, 2), (1, 2)]
     got = [(r["query_id"], r["rank"], r["neighbour_id"]) for r in ann.nearest(t, 2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (1, 1, 0), (1, 2, 2), (2, 1, 0), (2, 2, 1), (3, 1, 0), (3, 2, 1)]
+
+
+def test_ties_of_many_equal_vectors_go_by_id(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(3, 8)), [50, 300, 30], axis=0).astype(np.float32)[rng.permutation(380)]
+    s = cosine(x).round(12)
+    np.fill_diagonal(s, -9)
+    true = {(i, r, int(j)) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), -s[i]))[:10], 1)}
+    assert {(r["query_id"], r["rank"], r["neighbour_id"]) for r in ann.nearest(frame(spark, x)).collect()} == true
+
+
+def test_cosines_closer_than_float32_are_told_apart(spark):
+    x = np.zeros((60, 3), np.float32)
+    x[:, 0], x[:, 1] = 1, 3e-4 - 1e-6 * np.arange(60)
+    s = cosine(x)
+    np.fill_diagonal(s, -9)
+    got = {(r["query_id"], r["rank"], r["neighbour_id"]) for r in ann.nearest(frame(spark, x), 5).collect() if r["query_id"] == 0}
+    assert got == {(0, r, int(j)) for r, j in enumerate(np.argsort(-s[0], kind="stable")[:5], 1)}
