@@ -41,6 +41,19 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they stand in expressions, whatever signs are in them."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def unused(df: DataFrame, base: str) -> str:
+    """A column name like base that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

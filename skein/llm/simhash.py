@@ -11,8 +11,11 @@ thresholds with sum(t_i + 1) = TAU + 1; dynamic programming picks the thresholds
 number of partitions, with the fewest probes and candidates, estimated from the histograms
 of all fingerprints' partition values. Every fingerprint then probes each partition with
 all values within t_i bits of its own (each pair from one side only) and candidates are
-verified on all 64 bits. This finds every pair; thresholds only move the cost. Equal
-fingerprints are joined as one first, so thousands of copies cost no more than one text.
+verified on all 64 bits. This finds every pair; thresholds only move the cost. To bring a
+fingerprint and its probes together, a partition is again cut by the pigeonhole principle:
+values within t_i bits agree on at least one of t_i + 1 blocks of its bits, so what is
+shuffled is one row for each block, not for each probe. Texts with equal fingerprint and
+sketch are one node, so thousands of copies cost no more than one text.
 
 Groups are the connected components of the pairs; the least doc_id stands for its group.
 
@@ -23,12 +26,14 @@ are ignored (`near_duplicates`) or kept (`deduplicate`).
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_texts, materialise, slices, text_buffers
+from skein.llm.common import map_texts, materialise, quoted, slices, text_buffers, unused
 from skein.llm.components import components
 from skein.llm.tokens import mix, sum_rows, words
 
@@ -38,7 +43,9 @@ PARTITIONS = (4, 5, 6, 8)
 MAX_RADIUS = 3
 SLICE_BYTES = 1 << 20
 BROADCAST_IDS = 4_000_000  # up to so many ids go to every task, more are joined by shuffling documents
-PROBE_COST = 40  # of shuffling one probe, in verified candidates
+PROBE_COST = 40  # of one probe, in verified candidates
+BUCKET_ROWS = 1 << 18  # fingerprints in a bucket; more bits go into the keys beyond
+TASK_ROWS, CANDIDATES = 1 << 20, 1 << 20  # fingerprints a task holds, candidates at once
 
 
 def fingerprints(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +135,6 @@ def bit_order(fps: DataFrame) -> np.ndarray:
 
 def ball(width: int, radius: int) -> list[int]:
     """All masks of at most radius bits."""
-    from itertools import combinations
-
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
@@ -180,22 +185,43 @@ def choose_thresholds(histograms: dict[int, list[np.ndarray]], n: int, tau: int
     return best[1], best[2]
 
 
-def candidate_pairs(fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """(p, q): all pairs of distinct fingerprints within tau bits, p < q. fps: column fp, distinct."""
-    order = bit_order(fps)
-    spark = fps.sparkSession
+def covers(width: int, radius: int, blocks: int) -> list[tuple[int, list[int]]]:
+    """(key, masks): bits of a partition and the masks that leave them alone.
 
-    def place(batches):
-        for b in batches:
-            fp = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(permute(fp, order).view(np.int64))], names=["fp", "p"])
+    The partition is cut into blocks; a mask of at most radius bits leaves at least
+    blocks - radius of them alone, so each belongs to some choice of so many: the first.
+    """
+    edges = [width * b // blocks for b in range(blocks + 1)]
+    block = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    left, out = ball(width, radius), []
+    for some in combinations(block, blocks - radius):
+        key = sum(some)
+        out.append((key, [m for m in left if not m & key]))
+        left = [m for m in left if m & key]
+    return [(key, masks) for key, masks in out if masks]
+
+
+def fitting_covers(hist: np.ndarray, width: int, radius: int) -> list[tuple[int, list[int]]]:
+    """The covers with the fewest keys whose buckets hold at most BUCKET_ROWS fingerprints.
+
+    A value so frequent that no key can part it sets the least size.
+    """
+    value = np.arange(len(hist))
+    limit = max(BUCKET_ROWS, 2 * int(hist.max()))
+    for blocks in range(radius + 1, width + 1):
+        found = covers(width, radius, blocks)
+        if all(np.bincount(value & key, weights=hist).max() <= limit for key, _ in found):
+            break
+    return found
 
-    placed = materialise(fps.select("fp").mapInArrow(place, "fp long, p long"))
+
+def partition_histograms(nodes: DataFrame, order: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """For each number of partitions, how many fingerprints have each value of each partition."""
 
     def count(batches):
         hists = {(m, i): np.zeros(1 << w, np.int64) for m in PARTITIONS for i, w in enumerate(widths_of(m))}
         for b in batches:
-            p = b.column(0).to_numpy().view(np.uint64)
+            p = permute(b.column(0).to_numpy(), order)
             for (m, i), h in hists.items():
                 h += np.bincount(part_value(p, widths_of(m), i).astype(np.int64), minlength=len(h))
         for (m, i), h in hists.items():
@@ -203,21 +229,92 @@ def candidate_pairs(fps: DataFrame, tau: int = TAU) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m * 100 + i)), pa.array(at), pa.array(h[at])], names=["part", "value", "n"])
 
     hists = {m: [np.zeros(1 << w, np.int64) for w in widths_of(m)] for m in PARTITIONS}
-    counted = placed.select("p").mapInArrow(count, "part long, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n"))
+    counted = nodes.select("fp").mapInArrow(count, "part long, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n"))
     got = counted.toPandas()  # at most 2^16 values in each of 23 partitions
     for part, rows in got.groupby("part"):
         hists[part // 100][part % 100][rows["value"].to_numpy()] = rows["n"].to_numpy()
+    return hists
+
+
+def value_pairs(v: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, size): for rows in order of v, the later rows whose value is v ^ mask, if that is greater."""
+    n = len(v)
+    row = np.arange(n)
+    if not mask:
+        first, last = row + 1, np.searchsorted(v, v, side="right")
+    else:
+        row = np.flatnonzero((v ^ mask) > v)
+        other = v[row] ^ mask
+        first, last = np.searchsorted(v, other), np.searchsorted(v, other, side="right")
+    some = last > first
+    return row[some], first[some], (last - first)[some]
+
+
+def close_rows(p: np.ndarray, v: np.ndarray, masks: list[int], tau: int):
+    """(i, j) of the rows, sorted by v, whose values differ by one of the masks and which differ in at most tau bits."""
+    for mask in masks:
+        row, first, size = value_pairs(v, mask)
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(row):  # about CANDIDATES at once
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CANDIDATES, side="right")))
+            some = size[lo:hi]
+            i = np.repeat(row[lo:hi], some)
+            j = np.arange(len(i)) + np.repeat(first[lo:hi] - (ends[lo:hi] - some - (ends[lo - 1] if lo else 0)), some)
+            near = np.flatnonzero(np.bitwise_count(p[i] ^ p[j]) <= tau)
+            yield i[near], j[near]
+            lo = hi
+
+
+def node_pairs(nodes: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b): all pairs of nodes a < b whose fingerprints differ in at most tau bits, once each.
+
+    nodes: fp, node. Each fingerprint goes to one bucket for each key of its partitions'
+    covers, not to one for each mask; the masks are tried inside the buckets. A pair is
+    given by the first partition that admits it.
+    """
+    order = bit_order(nodes)
+    hists = partition_histograms(nodes, order)
     n = int(hists[PARTITIONS[0]][0].sum())
     widths, thresholds = choose_thresholds(hists, n, tau)
     used = [i for i, t in enumerate(thresholds) if t >= 0]
-    # one integer names partition and value, so one equi-join serves all partitions
-    codes = [F.struct(F.lit(i).alias("part"), (F.lit(i << 20) + F.shiftrightunsigned("p", BITS - sum(widths[: i + 1])).bitwiseAND((1 << widths[i]) - 1)).cast("int").alias("code")) for i in used]
-    index = placed.select("fp", F.inline(F.array(*codes)))
-    masks = spark.createDataFrame([(i, x) for i in used for x in ball(widths[i], thresholds[i])], "part int, mask int")
-    probe = index.join(F.broadcast(masks), "part").select(F.col("fp").alias("p"), F.col("code").bitwiseXOR(F.col("mask")).alias("code"), (F.col("mask") == 0).alias("same"), F.col("code").alias("own"))
-    probe = probe.where("same OR code > own").select("p", "code", "same")
-    found = probe.join(index.select(F.col("fp").alias("q"), "code"), "code").where((~F.col("same") | (F.col("p") < F.col("q"))) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= tau))
-    return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    shifts = [BITS - sum(widths[: i + 1]) for i in range(len(widths))]
+    plan = [(i, key, masks) for i in used for key, masks in fitting_covers(hists[len(widths)][i], widths[i], thresholds[i])]
+
+    def place(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(permute(b.column(0).to_numpy(), order).view(np.int64)), b.column(1)], names=["p", "node"])
+
+    def search(batches):
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        bucket, p_all, node_all = map(np.concatenate, zip(*got))
+        p_all, cover = p_all.view(np.uint64), bucket >> 20
+        for c in np.unique(cover):
+            i, _, masks = plan[c]
+            mine = np.flatnonzero(cover == c)
+            v = part_value(p_all[mine], widths, i).astype(np.int64)
+            sort = np.argsort(v, kind="stable")
+            v, p, node = v[sort], p_all[mine[sort]], node_all[mine[sort]]
+            for x, y in close_rows(p, v, masks, tau):
+                differ, new = p[x] ^ p[y], np.ones(len(x), bool)
+                for j in used[: used.index(i)]:
+                    new &= np.bitwise_count(part_value(differ, widths, j)) > thresholds[j]
+                a, b = node[x[new]], node[y[new]]
+                new = a != b
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[new]), pa.array(np.maximum(a, b)[new])], names=["a", "b"])
+
+    keys = [(F.shiftrightunsigned("p", shifts[i]).bitwiseAND(key) + F.lit(c << 20)).cast("int") for c, (i, key, _) in enumerate(plan)]
+    buckets = nodes.select("fp", "node").mapInArrow(place, "p long, node long").select(F.explode(F.array(*keys)).alias("bucket"), "p", "node")
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(plan) // TASK_ROWS))
+    return buckets.repartition(tasks, "bucket").mapInArrow(search, "a long, b long")
+
+
+def candidate_pairs(fps: DataFrame, tau: int = TAU) -> DataFrame:
+    """(p, q): all pairs of distinct fingerprints within tau bits, p < q. fps: column fp, distinct."""
+    return node_pairs(fps.select("fp", F.col("fp").alias("node")), tau).select(F.col("a").alias("p"), F.col("b").alias("q"))
 
 
 def similarity(a, b):
@@ -226,22 +323,28 @@ def similarity(a, b):
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.greatest(F.size(union), F.lit(1))
 
 
-def verified_edges(nodes: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """(a, b): node pairs with similar sketches, enough of them to link every group.
+def checked(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast where they are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def verified_edges(table: DataFrame, nodes: DataFrame, similar: float, tau: int = TAU) -> DataFrame:
+    """(a, b): node pairs with near fingerprints and similar sketches, enough of them to link every group.
 
-    nodes: fp, node, sketch; pairs: fingerprints p < q within the bit limit. In a group of
-    thousands nearly all pairs are candidates, but its components need few of them: first
-    each node is verified against its least neighbour only, then, of all candidates, those
-    that these edges don't already connect. The sketches travel with these alone.
+    table: doc_id, fp, sig, sketch; nodes: fp, sig, node. In a group of thousands nearly all
+    pairs are candidates, but its components need few of them: first each node is verified
+    against its least neighbour only, then, of all candidates, those that these edges don't
+    already connect. Only the sketches of nodes that have a candidate are moved.
     """
-    named = nodes.select("fp", "node")
-    twins = named.alias("x").join(named.alias("y"), "fp").where("x.node < y.node").selectExpr("x.node AS a", "y.node AS b")
-    ends = pairs.join(named.select(F.col("fp").alias("p"), F.col("node").alias("a")), "p").join(named.select(F.col("fp").alias("q"), F.col("node").alias("b")), "q")
-    near = materialise(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(twins))
+    near = materialise(node_pairs(nodes, tau))
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(nodes.join(ends, "node", "left_semi").select(F.col("node").alias("doc_id"), "fp", "sig"))
+    keys = ["doc_id", "fp", "sig"]
+    sketch = materialise(table.join(checked(wanted), keys, "left_semi").groupBy(*keys).agg(F.first("sketch").alias("sketch")).select(F.col("doc_id").alias("node"), "sketch"))
 
     def verify(some: DataFrame) -> DataFrame:
-        left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-        right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+        left = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+        right = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
         return some.join(left, "a").join(right, "b").where(similarity(F.col("sa"), F.col("sb")) >= similar).select("a", "b")
 
     first = materialise(verify(near.groupBy("b").agg(F.min("a").alias("a"))))
@@ -253,13 +356,11 @@ def verified_edges(nodes: DataFrame, pairs: DataFrame, similar: float) -> DataFr
 
 def near_duplicates(docs: DataFrame, tau: int = TAU, similar: float = SIMILAR) -> DataFrame:
     """doc_id, group_id (the least doc_id of its group), duplicate, for every row."""
-    table = materialise(sketch_table(docs))
+    table = materialise(sketch_table(docs).withColumn("sig", F.xxhash64("sketch")))
     named = table.where("doc_id IS NOT NULL AND fp IS NOT NULL")
-    nodes = materialise(named.groupBy("fp", F.xxhash64("sketch").alias("sig")).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
-    pairs = candidate_pairs(nodes.select("fp").distinct(), tau)
-    edges = verified_edges(nodes, pairs, similar)
-    groups = components(edges)
-    node_of = named.select("doc_id", "fp", F.xxhash64("sketch").alias("sig")).join(nodes.select("fp", "sig", "node"), ["fp", "sig"]).join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group_id"))
+    nodes = materialise(named.groupBy("fp", "sig").agg(F.min("doc_id").alias("node")))
+    groups = components(verified_edges(named, nodes, similar, tau))
+    node_of = named.select("doc_id", "fp", "sig").join(nodes, ["fp", "sig"]).join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group_id"))
     rest = table.where("doc_id IS NULL OR fp IS NULL").select("doc_id", F.col("doc_id").alias("group_id"))
     return node_of.unionByName(rest).select("doc_id", "group_id", F.coalesce(F.col("doc_id") != F.col("group_id"), F.lit(False)).alias("duplicate"))
 
@@ -268,20 +369,18 @@ def deduplicate(docs: DataFrame, tau: int = TAU, similar: float = SIMILAR) -> Da
     """docs without the duplicates: one row of each group, columns unchanged.
 
     A doc_id goes if all its rows are duplicates. Of rows with equal doc_id and text one
-    stays, the first by its JSON; rows with null doc_id all stay.
+    stays, the first by its JSON; rows with null doc_id all stay. Columns may have any names.
     """
     found = materialise(near_duplicates(docs, tau, similar))
-    counts = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("duplicate").alias("duplicate"))
-    drop = materialise(counts.where("duplicate").select(F.col("doc_id").alias("_gone")))
-    if drop.count() <= BROADCAST_IDS:  # then no text is shuffled
-        drop = F.broadcast(drop)
-    repeated = materialise(counts.where("rows > 1 AND NOT duplicate").select("doc_id"))
-    names = docs.columns
-    stay = docs.join(drop, F.expr("CAST(doc_id AS LONG)") == F.col("_gone"), "left_anti")
-    if repeated.isEmpty():
+    counts = materialise(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("duplicate").alias("duplicate")).where("duplicate OR rows > 1"))
+    names, id_name, row_name = quoted(docs.columns), unused(docs, "id"), unused(docs, "row")
+    ids = lambda condition: counts.where(condition).select(F.col("doc_id").alias(id_name))
+    on = F.col("doc_id").cast("long") == F.col(id_name)
+    # a few ids go to every task, then no text is shuffled
+    stay = docs.join(checked(ids("duplicate")), on, "left_anti")
+    again = ids("NOT duplicate")
+    if again.isEmpty():
         return stay.select(names)
-    again = repeated.withColumnRenamed("doc_id", "_again")
-    on = F.expr("CAST(doc_id AS LONG)") == F.col("_again")
-    order = [F.to_json(F.struct(*names))]
-    one = stay.join(again, on, "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy(F.expr("CAST(doc_id AS LONG)"), "text").orderBy(*order))).where("_row = 1").select(names)
-    return stay.join(again, on, "left_anti").select(names).unionByName(one)
+    first = Window.partitionBy(F.col("doc_id").cast("long"), "text").orderBy(F.to_json(F.struct(*names)))
+    one = stay.join(checked(again), on, "left_semi").withColumn(row_name, F.row_number().over(first)).where(F.col(row_name) == 1)
+    return stay.join(checked(again), on, "left_anti").select(names).unionByName(one.select(names))
