@@ -338,9 +338,9 @@ def verified_edges(table: DataFrame, nodes: DataFrame, similar: float, tau: int
     """
     near = materialise(node_pairs(nodes, tau))
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(nodes.join(ends, "node", "left_semi").select(F.col("node").alias("doc_id"), "fp", "sig"))
+    wanted = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("doc_id"), "fp", "sig")
     keys = ["doc_id", "fp", "sig"]
-    sketch = materialise(table.join(checked(wanted), keys, "left_semi").groupBy(*keys).agg(F.first("sketch").alias("sketch")).select(F.col("doc_id").alias("node"), "sketch"))
+    sketch = materialise(table.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.first("sketch").alias("sketch")).select(F.col("doc_id").alias("node"), "sketch"))
 
     def verify(some: DataFrame) -> DataFrame:
         left = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
