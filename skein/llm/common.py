@@ -42,8 +42,8 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def quoted(names: list[str]) -> list[str]:
-    """Column names as they stand in expressions, whatever signs are in them."""
-    return ["`" + n.replace("`", "``") + "`" for n in names]
+    """Column names as they stand in expressions, where dots and blanks may be in them."""
+    return [f"`{n}`" for n in names]
 
 
 def unused(df: DataFrame, base: str) -> str:
@@ -78,6 +78,16 @@ def map_texts(df: DataFrame, f, schema) -> DataFrame:
     return spread(df).mapInArrow(run, schema)
 
 
+def map_rows(docs: DataFrame, f, *more) -> DataFrame:
+    """map_texts where f keeps the columns, which may have any names; more: further columns for f to read.
+
+    f gets and gives batches whose columns are named by their place, c0, c1, ...
+    """
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    extra = docs.select("*", *more).toDF(*plain.columns, *(f"m{i}" for i in range(len(more)))) if more else plain
+    return map_texts(extra, f, plain.schema).toDF(*docs.columns)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column without decoding; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -127,7 +137,7 @@ def sample_ids(df: DataFrame, key: str, per_key: int, id_col: str = "doc_id") ->
     """
     from pyspark.sql import Window
 
-    h = F.xxhash64(F.col(id_col))
-    w = Window.partitionBy(key).orderBy(h, F.col(id_col))
-    ranked = df.select(id_col, key).where(F.col(key).isNotNull() & F.col(id_col).isNotNull()).withColumn("_rn", F.row_number().over(w))
-    return [r[0] for r in ranked.where(F.col("_rn") <= per_key).select(id_col).distinct().collect()]
+    h = F.xxhash64("id")
+    w = Window.partitionBy("key").orderBy(h, "id")
+    named = df.select(F.col(id_col).alias("id"), F.col(key).alias("key")).where("key IS NOT NULL AND id IS NOT NULL")
+    return [r[0] for r in named.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_key).select("id").distinct().collect()]

@@ -1,7 +1,9 @@
 """Operator 3, language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of labelled text
-(`train_bytes` bytes of documents chosen by the hash of their id). A text is parsed
+For each language a suffix automaton is built over a bounded sample of labelled rows: of the
+`per_language` documents with the least hashes of their id, in that order, those that fit
+whole into `train_bytes`; the rest are held out, up to twice as many bytes. A document that
+doesn't fit is passed over, none is cut. A text is parsed
 greedily against each automaton: a phrase is the longest piece that occurs in the sample,
 the next one begins after it. Phrases divided by letters is the cross-parsing rate; the
 language that needs fewest wins. Texts are folded to lower case; runs of bytes that are no
@@ -14,18 +16,20 @@ limit is raised by three standard errors, so that a short clean text isn't lost
 
 Defined results: null, empty and letterless texts have language null, rate null and are
 rejected; equal rates go to the language first in the alphabet; repeated rows get equal
-answers; whole texts are parsed, however long. With no labelled row nothing can be known:
-language and rate are null and every text is kept.
+answers; whole texts are parsed, however long. A language whose sampled documents are all
+longer than `train_bytes` is learned from the shortest one. Of labelled rows with one id the
+least text is used. With no labelled row nothing can be known: language and rate are null
+and every text is kept. Columns may have any names.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import automata
-from skein.llm.common import SEPARATOR, map_texts, sample_ids, slices, text_buffers, with_separators
+from skein.llm.common import SEPARATOR, map_rows, map_texts, sample_ids, slices, text_buffers, with_separators
 
 TRAIN_BYTES = 16_384
 DOCS_PER_LANGUAGE = 48
@@ -62,10 +66,13 @@ class LanguageModel:
         self.languages = sorted(samples)
         train, held = {}, {}
         for lang in self.languages:
-            texts = [t.lower().encode() for t in samples[lang] if t]
-            cut = max(1, len(texts) * 3 // 4)
-            train[lang] = self._folded(texts[:cut])[:train_bytes]
-            held[lang] = self._folded(texts[cut:] or texts)[: 2 * train_bytes]
+            texts = [self._folded([t.lower().encode()]) for t in samples[lang] if t]
+            fitted, rest = self._fill(texts[: max(1, len(texts) * 3 // 4)], train_bytes)
+            if not fitted:
+                fitted, rest = [min(texts, key=len)], []
+            train[lang] = np.concatenate(fitted)
+            held[lang] = np.concatenate(self._fill(texts[max(1, len(texts) * 3 // 4):] + rest, 2 * train_bytes)[0] or fitted)
+        self.samples = {lang: t[t != SEPARATOR].tobytes() for lang, t in train.items()}
         used = sorted(set(np.concatenate([*train.values(), np.array([32], np.uint8)]).tolist()) - {SEPARATOR})
         self.byte_class = np.full(256, len(used), np.uint8)  # bytes seen nowhere share a class
         self.byte_class[used] = np.arange(len(used))
@@ -83,6 +90,15 @@ class LanguageModel:
         self.inside = max(inside, default=0.0)
         self.reject_rate = (self.inside + min(outside, default=1.0)) / 2
 
+    @staticmethod
+    def _fill(texts: list[np.ndarray], room: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(those that fit whole, one after another; the others)."""
+        used, rest = [], []
+        for t in texts:
+            (used if len(t) <= room else rest).append(t)
+            room -= len(t) if len(t) <= room else 0
+        return used, rest
+
     @staticmethod
     def _folded(texts: list[bytes]) -> np.ndarray:
         raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -117,10 +133,15 @@ def train(docs: DataFrame, lang_col: str = "lang", train_bytes: int = TRAIN_BYTE
     ids = sample_ids(docs, lang_col, per_language)
     found: dict[str, list[str]] = {}
     if ids:
-        rows = docs.where(F.col("doc_id").isin(ids)).select(lang_col, F.substring(F.col("text"), 1, train_bytes).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
-        for r in sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"], r["text"] or "")):
-            if r[lang_col] is not None and r["text"]:
-                found.setdefault(r[lang_col], []).append(r["text"])
+        rows = docs.where(F.col("doc_id").isin(ids) & F.col(lang_col).isNotNull() & (F.octet_length(F.trim("text")) > 0)).select(F.col(lang_col).alias("lang"), "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+        size = F.octet_length("text")
+        one = rows.groupBy("lang", "h", "doc_id").agg(F.min(F.when(size <= train_bytes, F.col("text"))).alias("text"), F.min(F.struct(size, "text")).alias("least"))
+        # a long text comes to the driver only where its language has no other
+        short = F.max(F.col("text").isNotNull()).over(Window.partitionBy("lang"))
+        shortest = F.row_number().over(Window.partitionBy("lang").orderBy("least", "doc_id")) == 1
+        chosen = one.withColumns({"short": short, "shortest": shortest}).select("lang", "h", "doc_id", F.when(F.col("short"), F.col("text")).when(F.col("shortest"), F.col("least.text")).alias("text")).where("text IS NOT NULL")
+        for r in sorted(chosen.collect(), key=lambda r: (r["h"], r["doc_id"])):
+            found.setdefault(r["lang"], []).append(r["text"])
     return LanguageModel(found, train_bytes)
 
 
@@ -147,16 +168,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of docs, columns unchanged, whose text is in one of the model's languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = len(names)
+    at = len(docs.columns)
 
     def run(batches):
         m = shared.value
         for b in batches:
             off, raw = text_buffers(b.column(at))
             keep = [m.classify(off[i: j + 1] - off[i], raw[off[i]: off[j]])[3] for i, j in slices(off, SLICE_BYTES)]
-            mask = np.concatenate(keep) if keep else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays(b.columns[:at], names=names).filter(pa.array(mask))
+            yield b.select(range(at)).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    folded = docs.select(*[docs[c] for c in names], F.lower(docs["text"]).alias("_folded_text"))
-    return map_texts(folded, run, docs.schema)
+    return map_rows(docs, run, F.lower(docs["text"].cast("string")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_texts, slices, text_buffers
+from skein.llm.common import map_rows, map_texts, slices, text_buffers
 from skein.llm.tokens import mix, sum_rows, words
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
@@ -232,4 +232,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
             p, known = _scores(m, b.column(at))
             yield b if m.network is None else b.filter(pa.array(known & (p >= threshold)))
 
-    return map_texts(docs, run, docs.schema)
+    return map_rows(docs, run)

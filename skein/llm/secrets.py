@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from skein.llm import automata
-from skein.llm.common import map_texts, slices, text_buffers, with_separators
+from skein.llm.common import map_rows, map_texts, slices, text_buffers, with_separators
 
 INNER = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _KEY = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
@@ -199,7 +199,7 @@ def redact(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
                 columns[at_chars] = pa.compute.replace_with_mask(columns[at_chars], pa.array(mask), chars)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return map_texts(docs, run, docs.schema)
+    return map_rows(docs, run)
 
 
 def oracle_sql(rules: dict[str, str] | None = None) -> str:

@@ -1,7 +1,8 @@
 import random
+import re
 
 from skein.llm import langid
-from tests.llm.util import awkward, empty, rows, SCHEMA
+from tests.llm.util import awkward, clashing, empty, rows, same_rows, SCHEMA
 
 WORDS = {"en": "the and with from this that have which their would there house water light".split(), "de": "der die und nicht mit auch sich werden können haus wasser straße über".split(), "es": "el los que para con una más también porque casa agua señor año".split()}
 
@@ -47,3 +48,56 @@ def test_awkward_and_empty_tables(spark):
     nothing = langid.train(empty(spark))
     kept = langid.keep_identified(awkward(spark), nothing)
     assert kept.count() == 12 and kept.columns == awkward(spark).columns
+
+
+def parse(text: bytes, sample: bytes) -> int:
+    """Longest matches in the sample, one after another; a symbol that isn't there is a phrase of its own."""
+    i = n = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i: j + 1] in sample:
+            j += 1
+        i, n = j, n + 1
+    return n
+
+
+def brute(texts, model):
+    out = {}
+    for i, t in enumerate(texts):
+        folded = re.sub(rb"[^a-z\x80-\xff]+", b" ", (t or "").lower().encode()).lstrip(b" ")
+        letters = len(folded.replace(b" ", b""))
+        counts = {lang: parse(folded, model.samples[lang]) for lang in model.languages}
+        best = min(counts, key=lambda k: (counts[k], k)) if letters else None
+        rate = min(counts.values()) / letters if letters else None
+        limit = model.reject_rate + 3 * (model.reject_rate / letters) ** 0.5 if letters else 0
+        out[i] = (best, rate, letters > 0 and rate <= limit)
+    return out
+
+
+def test_every_answer_equals_a_plain_parse(spark):
+    model = langid.train(docs(spark, corpus()))
+    r = random.Random(4)
+    texts = [t for _, t in corpus(6, 25, seed=3)] + ["".join(r.choice("qxzjk vwy9,") for _ in range(60)) for _ in range(6)] + ["The HOUSE, die straße 12", "", None, "###", "q"]
+    got = {x["doc_id"]: (x["language"], x["rate"], x["keep"]) for x in langid.identify(docs(spark, [(None, t) for t in texts]), model).collect()}
+    assert got == brute(texts, model)
+
+
+def test_sampled_documents_are_whole(spark):
+    texts = corpus(40, 60)
+    model = langid.train(docs(spark, texts), train_bytes=2_000)
+    whole = {lang: [re.sub(r"[^\w]+", " ", t).encode() for x, t in texts if x == lang] for lang in model.languages}
+    for lang, sample in model.samples.items():
+        assert 0 < len(sample) <= 2_000
+        rest = sample
+        for t in whole[lang]:
+            rest = rest.replace(t, b"")
+        assert rest.strip() == b""
+    tiny = langid.train(docs(spark, texts), train_bytes=5)  # nothing fits: the shortest, whole
+    assert all(tiny.samples[lang] in whole[lang] for lang in whole)
+
+
+def test_names_of_other_columns_are_kept(spark):
+    model = langid.train(clashing(spark))
+    kept = langid.keep_identified(clashing(spark), model)
+    assert kept.columns == clashing(spark).columns
+    same_rows(kept, clashing(spark))

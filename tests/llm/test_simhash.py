@@ -6,7 +6,7 @@ import pyarrow as pa
 from skein.llm import simhash
 from skein.llm.common import text_buffers
 from skein.llm.components import components
-from tests.llm.util import awkward, empty, table
+from tests.llm.util import awkward, clashing, empty, same_rows, table
 
 
 def corpus(seed=3):
@@ -98,3 +98,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_names_of_other_columns_are_kept(spark):
+    docs = clashing(spark)
+    same_rows(simhash.deduplicate(docs), docs, [0, 1])
+    same_rows(simhash.deduplicate(docs.unionByName(docs)), docs, [0, 1])
+
+
+def test_covers_hold_every_mask_once():
+    for width, radius in ((16, 0), (16, 2), (13, 3), (8, 1)):
+        for blocks in range(radius + 1, width + 1, 3):
+            found = simhash.covers(width, radius, blocks)
+            assert sorted(m for _, masks in found for m in masks) == sorted(simhash.ball(width, radius))
+            assert all(not m & key for key, masks in found for m in masks)
+
+
+def test_finer_buckets_find_the_same_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    fps = sorted({int(x) ^ (1 << int(b)) for x in rng.integers(-(2**62), 2**62, 12) for b in rng.integers(0, 62, 40)})
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long")
+    expected = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if bin((a ^ b) & (2**64 - 1)).count("1") <= simhash.TAU}
+    for most in (1, 60):
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", most)
+        monkeypatch.setattr(simhash, "CANDIDATES", most)
+        assert {(r["p"], r["q"]) for r in simhash.candidate_pairs(rows).collect()} == expected

@@ -27,3 +27,21 @@ def empty(spark):
 
 def table(spark, texts, **k):
     return spark.createDataFrame(rows(texts, **k), SCHEMA)
+
+
+NAMES = ["_gone", "_again", "_row", "_folded_text", "folded", "id", "row", "rows", "duplicate", "group_id", "sig", "sketch", "bucket", "part", "place", "span", "n_tokens", "component", "a.b", "x y", "P"]
+
+
+def clashing(spark):
+    """Documents whose other columns have names that the operators use, or awkward ones."""
+    texts = ["the quick brown fox went over the hill and came home late", "another text about houses and water and the light of day"] * 2
+    schema = T.StructType([*SCHEMA.fields, *(T.StructField(n, T.LongType()) for n in NAMES)])
+    return spark.createDataFrame([r + tuple(100 * i + k for k in range(len(NAMES))) for i, r in enumerate(rows(texts))], schema)
+
+
+def same_rows(some, table, keys=None):
+    """Every row of some is a row of table, all values unchanged; keys: which doc_ids there are."""
+    there = {r["doc_id"]: tuple(r) for r in table.collect()}
+    found = some.collect()
+    assert all(tuple(r) == there[r["doc_id"]] for r in found)
+    assert keys is None or sorted(r["doc_id"] for r in found) == keys
