@@ -4,23 +4,27 @@ Encoding. `Merges` holds a merge list as ranks of byte strings. Two tokens are c
 if encoding their concatenation gives the two back; a sequence is the encoding of its text
 exactly if all neighbours are compatible. So the last token of the encoding of a prefix is
 the one suffix of it that is a token and compatible with the last token before it, and the
-encoding of a longer text runs through one of the last positions: a token is final as soon
-as all positions within the longest token's length lead back to it. `Encoder` keeps only
-the positions since the last final token. How many that can be is bounded by the merge
-list: `lookahead` follows, in order of rank, the chains of merges that can take a piece
-away from the one to their left, and gives the greatest span in bytes. Memory is constant
-however long the text.
+encoding of a longer text is one of the last positions' own. How far a later byte can reach
+back is bounded by the merge list: `lookahead` follows, in order of rank, the chains of merges
+that can take a piece away from the one to their left, and gives the greatest span in bytes.
+`Encoder` emits every token that ends so many bytes before the last one read, and keeps only
+the positions since: its memory is constant however long the text.
 
 Before merging, a text is cut into pieces by the vocabulary's pattern; merges never cross
 a cut, so a piece's encoding is a function of the piece and is remembered, up to a limit,
-in each worker. Cuts are found on arrays of character classes, not by a regex engine.
+in each worker. Cuts are found on arrays of character classes, not by a regex engine. Texts
+of up to `SLICE_BYTES` are cut together; a longer one is fed in chunks of `CHUNK_BYTES` to
+`TextEncoder`, which holds back what the next bytes can still change: the last piece, or of
+a piece longer than `HOLD` characters only what its `Encoder` holds.
 
 Decoding. `Decoder` maps ids to bytes and bytes to text with a UTF-8 state machine that
 holds back an unfinished character at the end of a chunk and replaces malformed bytes as
-Python does.
+Python does. `round_trip` compares what it returns for a document's ids with the text.
 
 Defined results: a null text has null tokens; an empty one has none; equal texts have
-equal tokens; an unknown id raises. The text comes back byte for byte.
+equal tokens; an unknown id raises. Valid text comes back character for character. Bytes
+that are no UTF-8 count as signs, one each, and are encoded as they are; `round_trip` then
+compares texts in which both sides replace them.
 """
 from __future__ import annotations
 
@@ -42,6 +46,9 @@ RESULT = "doc_id long, n_tokens int, tokens array<int>, round_trip boolean"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TOKENIZERS = "/opt/tokenizers"
 SLICE_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+HOLD = 4_096  # characters of an unfinished piece that are held before it is streamed
+SETTLED = 4  # so many characters from the end, cuts can't change any more
 REMEMBERED = 500_000  # pieces per worker
 LONG_PIECE = 64  # longer pieces are streamed and not remembered
 
@@ -68,6 +75,7 @@ class Merges:
             if len(t) > 2:
                 ends.setdefault(t[-3:], set()).add(len(t))
         self.by_end = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self.ahead = self.lookahead()
 
     def _halves(self, t: bytes, r: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t: what merging t with lower ranks only leaves."""
@@ -156,14 +164,12 @@ class Encoder:
         self.held = 0  # most bytes ever held
 
     def feed(self, data: bytes) -> list[int]:
-        m, out = self.m, []
-        step = m.longest
+        out, most = [], self.m.ahead + self.m.longest
         while data:
-            # up to the next place to look for final tokens
-            take = step - len(self.tail) % step
+            take = most - len(self.tail)
             self._advance(data[:take])
             data = data[take:]
-            if len(self.tail) > step and len(self.tail) % step == 0:
+            if len(self.tail) >= most:
                 out += self._settle()
         return out
 
@@ -197,19 +203,12 @@ class Encoder:
         self.last.append((self.m.ranks[tail[n - 1: n]], n - 1))
 
     def _settle(self) -> list[int]:
-        """Final tokens: those before the place where the ways back from all positions a later
-        token can start at have met."""
-        n = len(self.tail)
-        self.held = max(self.held, n)
-        ahead = list(range(-n, -max(1, n - self.m.longest + 1) + 1))  # a heap of negated positions
-        while len(ahead) > 1:
-            at = -heapq.heappop(ahead)
-            if -ahead[0] != at:
-                heapq.heappush(ahead, -self.last[at - 1][1])
-                if ahead[0] == 0:
-                    return []
-        cut = -ahead[0]
-        return self._emit(cut) if cut > 0 else []
+        """Final tokens: those that end at least the lookahead before the last byte."""
+        self.held = max(self.held, len(self.tail))
+        cut, final = len(self.tail), len(self.tail) - self.m.ahead
+        while cut > final:
+            cut = self.last[cut - 1][1]
+        return self._emit(cut) if cut else []
 
     def _emit(self, cut: int) -> list[int]:
         out, at = [], cut
@@ -295,10 +294,6 @@ class Codec:
     def __init__(self, merges: Merges):
         self.m = merges
         self.memo: dict[bytes, tuple[int, ...]] = {}
-        size = np.array([len(t) for t in merges.tokens], np.int64)
-        self.size = size
-        self.first = np.concatenate(([0], np.cumsum(size)))
-        self.bytes = np.frombuffer(b"".join(merges.tokens), np.uint8)
 
     def piece(self, data: bytes) -> tuple[int, ...]:
         got = self.memo.get(data)
@@ -315,31 +310,97 @@ class Codec:
                 self.memo[data] = got
         return got
 
+    def join(self, whole: bytes, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each piece's begin) of the pieces between bounds."""
+        memo, one = self.memo, self.piece
+        found = [memo.get(p) or one(p) for p in map(whole.__getitem__, map(slice, bounds, bounds[1:]))]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), np.concatenate(([0], np.cumsum(sizes)))
+
     def encode(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token ids, where each text's begin) for texts laid end to end."""
         n = len(offsets) - 1
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
         whole = raw.tobytes()
-        lead = np.flatnonzero((raw & 0xC0) != 0x80)  # where characters begin
-        codes = np.frombuffer(whole.decode("utf-8").encode("utf-32-le"), np.uint32)
+        lead = (raw & 0xC0) != 0x80  # where characters begin
+        try:
+            codes = np.frombuffer(whole.decode("utf-8").encode("utf-32-le"), np.uint32)
+            alone = lead[offsets[:-1][offsets[:-1] < len(raw)]].all()  # no character over two texts
+        except UnicodeDecodeError:
+            alone = False
+        if not alone:
+            each = [self.stream(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            return np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
+        lead = np.flatnonzero(lead)
         stops = np.searchsorted(lead, offsets[1:])
         at = np.append(lead[cuts(codes, stops)], len(raw))
-        bounds = at.tolist()
-        pieces = [whole[a:b] for a, b in zip(bounds, bounds[1:])]
-        memo, one = self.memo, self.piece
-        found = [memo.get(p) or one(p) for p in pieces]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids, ends = self.join(whole, at.tolist())
         return ids, ends[np.searchsorted(at[:-1], offsets)]
 
-    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
-        size = self.size[ids]
-        if not len(ids):
-            return np.zeros(0, np.uint8)
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        return self.bytes[np.arange(int(size.sum())) + np.repeat(self.first[ids] - start, size)]
+    def stream(self, data: bytes | memoryview) -> np.ndarray:
+        """The ids of one text, fed in chunks."""
+        e = TextEncoder(self)
+        return np.concatenate([e.feed(bytes(data[i: i + CHUNK_BYTES])) for i in range(0, len(data), CHUNK_BYTES)] + [e.finish()])
+
+
+class TextEncoder:
+    """Feeds on the bytes of a text; returns the ids of what nothing to come can change."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.state = codecs.getincrementaldecoder("utf-8")("surrogateescape")  # a malformed byte is one character
+        self.text = ""
+        self.piece: Encoder | None = None  # of a piece that began before the text held
+        self.known = 0  # characters at the front of the text that this encoder already has
+        self.held = 0  # most characters ever held
+
+    def feed(self, data: bytes, final: bool = False) -> np.ndarray:
+        self.text += self.state.decode(data, final)
+        text, out = self.text, []
+        n = len(text)
+        self.held = max(self.held, n)
+        if not final and n - self.known <= SETTLED:
+            return np.zeros(0, np.int32)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = cuts(codes, np.array([n]))
+        at = at[at >= self.known] if final else at[(at >= self.known) & (at <= n - SETTLED)]
+        if self.piece is not None:
+            ended = final or len(at) > 0
+            stop = int(at[0]) if len(at) else n if final else n - SETTLED
+            out.append(np.array(self.piece.feed(self._bytes(text[self.known: stop])) + (self.piece.finish() if ended else []), np.int32))
+            if not ended:
+                self._keep(stop)
+                return out[0]
+            self.piece = None
+        if final:
+            at = np.append(at, n)
+        if len(at) > 1:
+            a, b = int(at[0]), int(at[-1])
+            size = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+            size[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+            place = np.concatenate(([0], np.cumsum(size[a:b])))
+            out.append(self.codec.join(self._bytes(text[a:b]), place[at - a].tolist())[0])
+        start = int(at[-1]) if len(at) else n
+        self.text, self.known = text[start:], 0
+        if not final and len(self.text) > HOLD:
+            self.piece = Encoder(self.codec.m)
+            stop = len(self.text) - SETTLED
+            out.append(np.array(self.piece.feed(self._bytes(self.text[:stop])), np.int32))
+            self._keep(stop)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def _keep(self, stop: int) -> None:
+        """Of the text before stop, all in one piece, only what cuts look back at."""
+        first = max(0, stop - SETTLED)
+        self.text, self.known = self.text[first:], stop - first
+
+    @staticmethod
+    def _bytes(text: str) -> bytes:
+        return text.encode("utf-8", "surrogateescape")
+
+    def finish(self) -> np.ndarray:
+        return self.feed(b"", True)
 
 
 class Decoder:
@@ -349,11 +410,31 @@ class Decoder:
         self.tokens = merges.tokens
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids) -> str:
-        return self.state.decode(b"".join(self.tokens[i] for i in ids))
+    def feed(self, ids: list[int]) -> str:
+        return self.state.decode(b"".join(map(self.tokens.__getitem__, ids)))
 
     def finish(self) -> str:
-        return self.state.decode(b"", True)
+        text = self.state.decode(b"", True)
+        self.state.reset()
+        return text
+
+
+def same_text(decoder: Decoder, ids: np.ndarray, data: memoryview) -> bool:
+    """Whether ids decode to the text of data; both are read in chunks."""
+    source, found, wanted, i, j = codecs.getincrementaldecoder("utf-8")("replace"), "", "", 0, 0
+    while True:
+        more = not (i >= len(ids) and j >= len(data))
+        if more:
+            found += decoder.feed(ids[i: i + CHUNK_BYTES // 4].tolist())
+            wanted += source.decode(data[j: j + CHUNK_BYTES])
+            i, j = i + CHUNK_BYTES // 4, j + CHUNK_BYTES
+        else:
+            return found + decoder.finish() == wanted + source.decode(b"", True)
+        n = min(len(found), len(wanted))
+        if found[:n] != wanted[:n]:
+            decoder.finish()
+            return False
+        found, wanted = found[n:], wanted[n:]
 
 
 @lru_cache(maxsize=2)
@@ -366,22 +447,21 @@ def encode_documents(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULA
 
     def run(batches):
         c = codec(vocabulary)
+        decoder = Decoder(c.m)
         for b in batches:
             off, raw = text_buffers(b.column(1))
             null = b.column(1).is_null().to_numpy(zero_copy_only=False)
             for i, j in slices(off, SLICE_BYTES):
                 o, r = off[i: j + 1] - off[i], raw[off[i]: off[j]]
-                ids, first = c.encode(o, r)
-                back = c.decode_bytes(ids)
-                ends = np.concatenate(([0], np.cumsum(c.size[ids])))[first]
-                good = ends[1:] == o[1:]
-                if len(back) != len(r):
-                    good &= False
-                elif len(r):
-                    wrong = np.concatenate(([0], np.cumsum(back != r)))
-                    good &= wrong[o[1:]] == wrong[o[:-1]]
+                if len(r) > SLICE_BYTES:  # one long text
+                    ids = c.stream(memoryview(r))
+                    first = np.array([0, len(ids)])
+                else:
+                    ids, first = c.encode(o, r)
+                data = memoryview(r)
+                good = [same_text(decoder, ids[a:z], data[x:y]) for a, z, x, y in zip(first[:-1].tolist(), first[1:].tolist(), o[:-1].tolist(), o[1:].tolist())]
                 mask = null[i:j]
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids), mask=pa.array(mask))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(first).astype(np.int32), mask=mask), lists, pa.array(good, mask=mask)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(first).astype(np.int32), mask=mask), lists, pa.array(good, pa.bool_(), mask=mask)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
     return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, RESULT)

@@ -1,6 +1,8 @@
 import base64
 import os
+import resource
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -21,8 +23,6 @@ def other():
 
 
 def encode(text):
-    import numpy as np
-
     raw = np.frombuffer(text.encode(), np.uint8)
     return bpe.codec(PATH).encode(np.array([0, len(raw)]), raw)[0].tolist()
 
@@ -84,3 +84,62 @@ def test_documents_round_trip(spark, other):
     assert bpe.encode_documents(awkward(spark), PATH).count() == 12
     assert bpe.encode_documents(empty(spark), PATH).count() == 0
     assert bpe.encode_documents(table(spark, ["x"]), PATH).first()["n_tokens"] == 1
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["'s", "'ll", "'", "''", "  ", "\n", " ", "the", "é", "日本", "12", "!?", "ing", "\U0001F600", "'D", "\t", "a" * 30, "?" * 30, " " * 30]), max_size=25).map("".join), st.integers(1, 40), st.sampled_from([4, 9, 4096]))
+def test_chunks_change_nothing(other, text, step, hold):
+    data, before = text.encode(), bpe.HOLD
+    bpe.HOLD = hold
+    try:
+        e = bpe.TextEncoder(bpe.codec(PATH))
+        got = [x for i in range(0, len(data), step) for x in e.feed(data[i: i + step]).tolist()] + e.finish().tolist()
+    finally:
+        bpe.HOLD = before
+    assert got == other.encode_ordinary(text)
+    assert e.held <= step + hold + 2 * bpe.SETTLED
+
+
+def test_a_text_of_64_megabytes_takes_constant_memory(other):
+    part = ("The house by the water, 1984: it's là 日本. " * 24_000)[: 1 << 20].encode()[: 1 << 20].decode(errors="ignore").encode()
+    e, d, n, ids = bpe.TextEncoder(bpe.codec(PATH)), bpe.Decoder(bpe.load_merges(PATH)), 64, []
+    whole, count, waiting = part.decode(), 0, ""
+    for k in range(n):
+        new = e.feed(part)
+        count += len(new)
+        waiting += d.feed(new.tolist())
+        assert waiting.startswith(whole[: len(waiting)]) and len(waiting) <= 2 * len(whole)
+        waiting = waiting[len(whole):] if len(waiting) >= len(whole) else waiting
+        if k == 3:
+            used = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    last = e.finish()
+    waiting += d.feed(last.tolist()) + d.finish()
+    assert waiting == "" or waiting == whole
+    assert e.held <= bpe.CHUNK_BYTES + bpe.HOLD + 2 * bpe.SETTLED
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - used < 64 << 10  # kilobytes
+    assert count + len(last) > n * len(other.encode_ordinary(whole)) - 2 * n
+
+
+def test_one_piece_of_a_megabyte_is_streamed(other):
+    c = bpe.codec(PATH)
+    e, data = bpe.TextEncoder(c), b"x" + b"ab" * 150_000
+    out = [x for i in range(0, len(data), 1 << 16) for x in e.feed(data[i: i + (1 << 16)]).tolist()]
+    assert e.piece is not None and len(e.piece.tail) <= c.m.ahead + c.m.longest and len(out) > 1000
+    out += e.finish().tolist()
+    assert b"".join(c.m.tokens[i] for i in out) == data
+    assert out == other.encode_ordinary(data.decode())
+
+
+def test_bytes_that_are_no_text(spark):
+    data = [b"ab\xff\xc3 cd", b"\xa9 next", b"\xe6\x97", b"fine \xc3\xa9", b"\x80" * 50]
+    docs = spark.createDataFrame(list(enumerate(map(bytearray, data))), "doc_id long, b binary").selectExpr("doc_id", "CAST(b AS STRING) AS text").coalesce(1)
+    tokens = bpe.load_merges(PATH).tokens
+    rows = {r["doc_id"]: r for r in bpe.encode_documents(docs, PATH).collect()}
+    assert {i: b"".join(tokens[t] for t in r["tokens"]) for i, r in rows.items()} == dict(enumerate(data))
+    assert all(r["round_trip"] for r in rows.values())
+
+
+def test_a_long_document_equals_its_parts(spark, other):
+    text = "der Weg ist weit, il s'en va; 12345 %% \n" * 70_000  # longer than a slice
+    (r,) = bpe.encode_documents(table(spark, [text]), PATH).collect()
+    assert r["round_trip"] and r["tokens"] == other.encode_ordinary(text)
