@@ -8,7 +8,9 @@ the mean of its words' unit vectors, frequent words weighted down by the corpus
 
 The network (one hidden layer, softmax) is fitted on at most `fit_rows` labelled documents,
 those with the smallest hash of their id; a quarter of them is held out to set the
-temperature by which logits are divided, so that probabilities are calibrated.
+temperature by which logits are divided, so that probabilities are calibrated. Documents
+are kept from probability `THRESHOLD`, or from the greatest lower one at which at most
+`MOST_LOST` of the good held-out documents are rejected.
 
 Defined results: a text without tokens (null, empty, blank) has probability null and is
 rejected; a null doc_id keeps its row; repeated rows get equal scores; labels that are
@@ -33,7 +35,7 @@ BLOCKS = 16
 SLICE_BYTES = 1 << 20
 FIT_ROWS = 10_000
 HIDDEN, EPOCHS, RATE = 24, 500, 0.02
-THRESHOLD = 0.25  # a clean document lost costs more than a poor one kept
+THRESHOLD, MOST_LOST = 0.5, 0.002  # documents are kept from this probability, or a lower one that loses at most so many good held-out ones
 SIF = 1e-3
 RESULT = "doc_id long, probability double, keep boolean"
 
@@ -67,20 +69,21 @@ def word_table(docs: DataFrame) -> np.ndarray:
                     for x, y in ((a, c), (c, a)):
                         for q in range(NONZERO):
                             total[:, :DIM] += np.bincount(x * DIM + where[y, q], weights=sign[y, q], minlength=flat).reshape(BUCKETS, DIM)
-        blocks = total.astype(np.float32).reshape(BLOCKS, -1)
+        # whole numbers, so that sums don't depend on how rows are divided among tasks
+        blocks = total.astype(np.int32 if np.abs(total).max() < 2**31 else np.int64).reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS // BLOCKS * (DIM + 1))
+        total = np.zeros(BUCKETS // BLOCKS * (DIM + 1), np.int64)
         for x in pdf["sums"]:
-            total += np.frombuffer(x, np.float32)
+            total += np.frombuffer(x, np.int32 if len(x) == 4 * len(total) else np.int64)
         return pd.DataFrame({"block": pdf["block"][:1], "sums": [total.tobytes()]})
 
     parts = map_texts(docs.select(docs["text"].cast("string").alias("text")), part, "block int, sums binary")
     rows = parts.groupBy("block").applyInPandas(add, "block int, sums binary").collect()
     table = np.zeros((BLOCKS, BUCKETS // BLOCKS * (DIM + 1)))
     for r in rows:
-        table[r["block"]] = np.frombuffer(r["sums"], np.float64)
+        table[r["block"]] = np.frombuffer(r["sums"], np.int64)
     return table.reshape(BUCKETS, DIM + 1)
 
 
@@ -121,6 +124,7 @@ class Network:
     w2: np.ndarray
     b2: np.ndarray
     temperature: float = 1.0
+    threshold: float = THRESHOLD
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -155,6 +159,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Network:
     gap = np.where(y[held] == 1, z[:, 1] - z[:, 0], z[:, 0] - z[:, 1])
     grid = np.exp(np.linspace(np.log(0.2), np.log(20), 200))
     net.temperature = float(grid[np.argmin([np.logaddexp(0, -gap / t).mean() for t in grid])])
+    good = np.sort(net.probability(x[held][y[held] == 1]))
+    if len(good):
+        net.threshold = float(min(THRESHOLD, good[int(MOST_LOST * len(good))]))
     return net
 
 
@@ -204,8 +211,8 @@ def _scores(model: QualityModel, column: pa.Array) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, probability of good quality and the decision, for every row."""
+def classify(docs: DataFrame, model: QualityModel, threshold: float | None = None) -> DataFrame:
+    """doc_id, probability of good quality and the decision, for every row; threshold: other than the model's."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -215,13 +222,13 @@ def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
             if m.network is None:
                 keep, known = np.ones(len(p), bool), np.zeros(len(p), bool)
             else:
-                keep = known & (p >= threshold)
+                keep = known & (p >= (m.network.threshold if threshold is None else threshold))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, mask=~known), pa.array(keep)], names=["doc_id", "probability", "keep"])
 
     return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, RESULT)
 
 
-def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float | None = None) -> DataFrame:
     """The rows of docs that the classifier accepts, columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -230,6 +237,6 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
         m = shared.value
         for b in batches:
             p, known = _scores(m, b.column(at))
-            yield b if m.network is None else b.filter(pa.array(known & (p >= threshold)))
+            yield b if m.network is None else b.filter(pa.array(known & (p >= (m.network.threshold if threshold is None else threshold))))
 
     return map_rows(docs, run)

@@ -1,9 +1,12 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
 from skein.llm import quality
-from tests.llm.util import awkward, empty, table
+from tests.llm.util import awkward, clashing, empty, same_rows, table
 
 
 def texts(n, seed):
@@ -57,3 +60,73 @@ def test_awkward_and_empty_tables(spark):
     none = quality.train(empty(spark), labels(spark, 0))
     assert none.network is None
     assert all(r["keep"] and r["probability"] is None for r in quality.classify(awkward(spark), none).collect())
+
+
+def plain_features(texts):
+    """Features of every text by loops over its tokens, with word vectors from all of them."""
+    from skein.llm.common import text_buffers
+    import pyarrow as pa
+
+    def bucket(word):  # the hash of a token is that of a text of one token
+        off, raw = text_buffers(pa.array([word]))
+        return int(quality.token_buckets(off, raw)[0][0])
+
+    tokens = [re.findall(r"[0-9A-Za-z]+|[^0-9A-Za-z\s]+", t or "") for t in texts]
+    number = {w: bucket(w) for w in {w for t in tokens for w in t}}
+    where, sign = quality.index_vectors()
+    context, count = {}, Counter()
+    for t in tokens:
+        ids = [number[w] for w in t]
+        count.update(ids)
+        for i, x in enumerate(ids):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                if j != i:
+                    v = context.setdefault(x, [0.0] * quality.DIM)
+                    for p, q in zip(where[ids[j]], sign[ids[j]]):
+                        v[p] += q
+    n = sum(count.values())
+    unit = {b: np.array(context.get(b, [0.0] * quality.DIM)) for b in count}
+    unit = {b: v / max(np.linalg.norm(v), 1e-9) for b, v in unit.items()}
+    common = sum(count[b] / n * v for b, v in unit.items())
+    weight = {b: quality.SIF / (quality.SIF + count[b] / n) for b in count}
+    out = []
+    for t in tokens:
+        ids = [number[w] for w in t]
+        total = sum(weight[b] for b in ids)
+        mean = sum(weight[b] * (unit[b] - common) for b in ids) / max(total, 1e-9) if ids else np.zeros(quality.DIM)
+        beside = sum(float((unit[a] - common) @ (unit[b] - common)) for a, b in zip(ids, ids[1:])) / max(len(ids) - 1, 1)
+        out.append([*mean, np.linalg.norm(mean), beside, math.log1p(len(ids))])
+    return np.array(out), np.array([len(t) for t in tokens])
+
+
+def test_every_score_equals_a_plain_computation(spark):
+    data = texts(60, 5) + ["", None, "solo", "#"]
+    docs = table(spark, data)
+    model = quality.train(docs, labels(spark, 60))
+    got = {r["doc_id"]: (r["probability"], r["keep"]) for r in quality.classify(docs.repartition(3), model).collect()}
+    x, n = plain_features(data)
+    net = quality.fit(x[:120], np.array([1] * 60 + [0] * 60))
+    for i in range(len(data)):
+        if not n[i]:
+            assert got[i] == (None, False)
+            continue
+        h = [math.tanh(sum((x[i][a] - net.mean[a]) / net.scale[a] * net.w1[a][k] for a in range(len(x[i]))) + net.b1[k]) for k in range(quality.HIDDEN)]
+        z = [sum(h[k] * net.w2[k][c] for k in range(quality.HIDDEN)) + net.b2[c] for c in (0, 1)]
+        p = 1 / (1 + math.exp((z[0] - z[1]) / net.temperature))
+        assert abs(got[i][0] - p) < 0.02
+        assert got[i][1] == (got[i][0] >= model.network.threshold)
+    assert abs(model.network.threshold - net.threshold) < 0.02
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    docs = table(spark, texts(40, 3))
+    a, b = (quality.word_table(docs.repartition(k)) for k in (1, 7))
+    assert (a == b).all()
+
+
+def test_names_of_other_columns_are_kept(spark):
+    docs = clashing(spark)
+    labelled = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, quality.train(docs, labelled))
+    assert kept.columns == docs.columns
+    same_rows(kept, docs)
