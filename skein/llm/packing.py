@@ -6,9 +6,10 @@ driver; it has one row per distinct length. Dynamic programming over it picks at
 fewest tokens (divide and conquer: the best cut moves monotonically). Inside a bucket,
 documents in order of doc_id fill batches of max(1, budget / bound) documents each.
 
-The position in a bucket is exact and never sorts a bucket in one task: documents are
-counted by (bucket, range of SPAN ids), the counts are summed up to offsets, and only
-documents of one range and bucket are ranked together.
+The position in a bucket is exact and never sorts a bucket in one task, whatever the ids
+are: documents are divided into ranges of (bucket, doc_id, n_tokens) of about equal size,
+counted by range, and the counts summed up to offsets; only documents of one range and
+bucket are ranked together.
 
 Defined results: tokens are runs of characters other than white space; null and texts
 without tokens have 0 tokens and no bucket or batch (null); a document longer than the
@@ -26,7 +27,7 @@ from skein.sources.storage import spread
 
 BUCKETS = 16
 BUDGET = 32_768
-SPAN = 4_096
+RANGE_ROWS = 1 << 20
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -75,14 +76,19 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     bucket = F.lit(None).cast("long")
     for bound in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= bound, F.lit(bound).cast("long")).otherwise(bucket)
-    span = F.coalesce(F.floor(F.col("doc_id") / SPAN), F.lit(-(2**62)))
-    placed = sized.withColumn("bucket", F.when(F.col("n_tokens") > 0, bucket)).withColumn("span", span)
-    before = Window.partitionBy("bucket").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.where("bucket IS NOT NULL").groupBy("bucket", "span").agg(F.count("*").alias("n")).select("bucket", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("bucket", "span").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens")
-    ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["bucket", "span"], "left")
+    order = [F.col("bucket"), F.col("doc_id").asc_nulls_first(), F.col("n_tokens")]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(histogram["count"].sum()) // RANGE_ROWS))
+    full = sized.where("n_tokens > 0").withColumn("bucket", bucket)
+    # written, since a range must stay what it was when its rows were counted
+    placed = materialise(full.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("bucket", "range").agg(F.count("*").alias("n")).select("bucket", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("bucket", "range").orderBy(*order[1:])
+    ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["bucket", "range"])
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
-    return ranked.select("doc_id", "n_tokens", "bucket", F.floor((F.col("start") + F.col("rank")) / capacity).alias("batch"))
+    none = F.lit(None).cast("long")
+    rest = sized.where("n_tokens = 0").select("doc_id", "n_tokens", none.alias("bucket"), none.alias("batch"))
+    return ranked.select("doc_id", "n_tokens", "bucket", F.floor((F.col("start") + F.col("rank")) / capacity).alias("batch")).unionByName(rest)
 
 
 def oracle_sql(buckets: int = BUCKETS, budget: int = BUDGET, source: str = "documents") -> str:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skein.llm import packing
-from tests.llm.util import awkward, empty, table
+from tests.llm.util import awkward, clashing, empty, table
 
 
 def padding(lengths, counts, bounds):
@@ -44,3 +44,19 @@ def test_awkward_and_empty_tables(spark):
     assert all(r["bucket"] is None and r["batch"] is None for r in rows if not r["n_tokens"])
     assert sum(not r["n_tokens"] for r in rows) == 4
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_any_ids_are_ranked_in_many_ranges(spark):
+    ids = [(i * 0x9E3779B97F4A7C15 + 12345) % 2**63 for i in range(500)] + [None] * 3 + [7] * 4
+    docs = spark.createDataFrame([(x, "w " * (1 + i % 23)) for i, x in enumerate(ids)], "doc_id long, text string")
+    rows = packing.pack(docs, buckets=3, budget=60).collect()
+    bounds = sorted({r["bucket"] for r in rows})
+    expected = []
+    for b in bounds:
+        mine = sorted(((-1 if x is None else x, 1 + i % 23) for i, x in enumerate(ids) if next(c for c in bounds if c >= 1 + i % 23) == b))
+        expected += [(x, n, b, k // max(1, 60 // b)) for k, (x, n) in enumerate(mine)]
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["bucket"], r["batch"]) for r in rows) == sorted(expected)
+
+
+def test_names_of_other_columns_are_ignored(spark):
+    assert sorted(r["doc_id"] for r in packing.pack(clashing(spark)).collect()) == [0, 1, 2, 3]
