@@ -4,14 +4,16 @@ Tokens are words, numbers and single signs. A linear chain joins neighbours; ski
 join each token that holds a digit or letter with the next equal token of the document and
 with the next one of the same shape after the same sign or word. Loopy message passing
 alternates exact forward-backward passes over the chains with messages over the skip edges
-(`ROUNDS` times), so that what is said of a token in a clear context carries over to its
-repetitions.
+until a document's messages change by less than `TOLERANCE` (at most `ROUNDS` times), so
+that what is said of a token in a clear context carries over to all its repetitions. Each
+document stops for itself: its result doesn't depend on which others are read with it.
 
-Only tokens within `REACH` of a digit or an at sign can have a label other than O; the
-rest is O with certainty. That cuts a chain without changing its result: the passes run
-over the remaining segments only. The model is trained here, on generated sentences whose
-labels are known (`TRAIN_SENTENCES`, fixed seed): chain weights by the likelihood, skip
-weights piecewise from how often linked tokens agree.
+Only tokens within `REACH` of a digit or an at sign, or in one unspaced run with such a
+token, can have a label other than O; the rest is O with certainty and parts the chain into
+segments. The model is trained here, on generated sentences whose labels are known
+(`TRAIN_SENTENCES`, fixed seed): the chain's weights by the likelihood, then the weights of
+the two sorts of skip edges by the gradient of the likelihood under message passing, which
+is the agreement of linked tokens in the data less that expected by the model.
 
 Defined results: null and empty texts have no entity; a null doc_id stays null; repeated
 rows are each read; whole texts are read. Other columns are ignored.
@@ -29,8 +31,8 @@ from skein.llm.common import map_texts, slices, text_buffers, with_separators
 from skein.llm.tokens import BLANK, WORDY, hash_spans, mix
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN")
-REACH, ROUNDS = 8, 4
-TRAIN_SENTENCES, EPOCHS, SEED = 1_500, 100, 5
+REACH, ROUNDS, TOLERANCE = 8, 50, 1e-4
+TRAIN_SENTENCES, EPOCHS, SKIP_EPOCHS, SEED = 1_500, 100, 12, 5
 RESULT = "doc_id long, label string, start_byte long, n_bytes long, probability double"
 SLICE_BYTES = 4 << 20
 
@@ -73,14 +75,16 @@ def describe(buf, s, e, row):
     return kind, gap, digits
 
 
-def segments_of(kind, digits, row):
-    """Start and length of the runs of tokens near a digit or at sign, within one document."""
+def segments_of(kind, digits, row, gap):
+    """(tokens, where each segment begins among them, sizes): the runs of tokens near a digit or at sign, within one document."""
     n = len(kind)
     hot = (digits > 0) | (kind == 12)
     at = np.flatnonzero(hot)
     mark = np.zeros(n + 1, np.int64)
-    low = np.maximum(at - REACH, np.searchsorted(row, row[at], side="left"))
-    high = np.minimum(at + REACH + 1, np.searchsorted(row, row[at], side="right"))
+    begins = np.append(np.flatnonzero(gap), n)  # of unspaced runs
+    run = np.searchsorted(begins, at, side="right") - 1
+    low = np.minimum(np.maximum(at - REACH, np.searchsorted(row, row[at], side="left")), begins[run]) if len(at) else at
+    high = np.maximum(np.minimum(at + REACH + 1, np.searchsorted(row, row[at], side="right")), begins[run + 1]) if len(at) else at
     np.add.at(mark, low, 1)
     np.add.at(mark, high, -1)
     inside = np.cumsum(mark[:n]) > 0
@@ -102,8 +106,8 @@ def features(kind, gap, digits, seg):
         same = (at + d == j) & (seg[j] == seg)
         x[at, (d + AROUND) * CLASSES + np.where(same, kind[j], EDGE)] = 1
     base = (2 * AROUND + 1) * CLASSES
-    new = gap.copy()
-    new[1:] |= seg[1:] != seg[:-1]
+    new = gap.copy()  # a run without blanks and without signs that no value is made of
+    new[1:] |= (seg[1:] != seg[:-1]) | (kind[1:] == OTHER) | (kind[:-1] == OTHER)
     new[:1] = True
     chunk = np.cumsum(new) - 1
     total = lambda m: np.bincount(chunk, weights=m, minlength=int(chunk[-1]) + 1 if n else 0)[chunk]
@@ -114,8 +118,9 @@ def features(kind, gap, digits, seg):
         seen = np.cumsum(kind == 12)
         before_at = (ats > 0) & (seen - (seen[np.flatnonzero(new)] - (kind[np.flatnonzero(new)] == 12))[chunk] == 0)
     x[:, base] = gap
-    x[:-1, base + 1] = new[1:]
-    x[1:, base + 2] = new[:-1]
+    x[:, base + 1] = np.append(new[1:], True)[:n]
+    x[:, base + 2] = np.concatenate(([True], new[:-1]))[:n]
+    x[1:, base + 2][seg[1:] != seg[:-1]] = 1
     x[:, base + 3] = ats == 1
     x[:, base + 4] = (ats == 1) & (dots > 0)
     x[:, base + 5] = before_at
@@ -174,11 +179,12 @@ def forward_backward(unary, gap, place, size, trans, pairs=False):
     return p, expected
 
 
-def skip_edges(h, kind, size, doc):
-    """(from, to, sort): consecutive equal tokens (0) and tokens of one shape and context (1)."""
+def skip_edges(h, kind, size, doc, place):
+    """(from, to, sort): consecutive equal tokens (0) and tokens of one shape and context (1); place: where segments begin."""
     out = []
     use = np.flatnonzero(kind <= 11)
     before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+    before[place] = 0
     shape = mix(before + np.uint64(31) * kind.astype(np.uint64) + np.uint64(977) * size.astype(np.uint64))
     for sort, key in ((0, h), (1, shape)):
         at = use if sort == 0 else use[kind[use] >= 3]
@@ -193,25 +199,41 @@ class Crf:
     def __init__(self, weights, trans, skip):
         self.weights, self.trans, self.skip = weights, trans, skip
 
-    def marginals(self, x, gap, place, size, edges):
+    def marginals(self, x, gap, place, size, edges, doc=None):
+        """The label probabilities of each token; doc: its document (one for all, if not given)."""
+        return self._propagate(x, gap, place, size, edges, np.zeros(len(x), np.int64) if doc is None else doc)[0]
+
+    def _propagate(self, x, gap, place, size, edges, doc):
+        """(marginals, for each edge the probability that both ends agree were they not linked)."""
         unary = (x @ self.weights.astype(np.float32)).astype(np.float64)
         p, _ = forward_backward(unary, gap, place, size, self.trans)
-        if not len(edges):
-            return p
+        m, L = len(edges), len(LABELS)
+        if not m:
+            return p, np.zeros(0)
         a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         gain = np.expm1(np.concatenate([self.skip[edges[:, 2]]] * 2))[:, None]
-        m = len(edges)
-        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        message = np.full((2 * m, len(LABELS)), 1 / len(LABELS))
+        message = np.full((2 * m, L), 1 / L)
+        cavity = np.empty((2 * m, L))
+        alive = np.zeros(int(doc.max()) + 1, bool)
+        alive[doc[a]] = True
         for _ in range(ROUNDS):
-            cavity = p[a] / message[back]
-            cavity /= cavity.sum(axis=1, keepdims=True)
-            message = 1 + gain * cavity
-            message /= message.sum(axis=1, keepdims=True)
-            coming = np.zeros_like(unary, dtype=np.float64)
-            np.add.at(coming, b, np.log(message))
-            p, _ = forward_backward(unary + coming, gap, place, size, self.trans)
-        return p
+            e = np.flatnonzero(alive[doc[a]])
+            t = np.flatnonzero(alive[doc])
+            cavity[e] = p[a[e]] / message[(e + m) % (2 * m)]
+            cavity[e] /= cavity[e].sum(axis=1, keepdims=True)
+            new = 1 + gain[e] * cavity[e]
+            new /= new.sum(axis=1, keepdims=True)
+            moved = np.abs(new - message[e]).max(axis=1)
+            message[e] = new
+            coming = np.column_stack([np.bincount(b[e], weights=w, minlength=len(x)) for w in np.log(new).T])
+            some = alive[doc[place]]
+            sizes = size[some]
+            p[t], _ = forward_backward(unary[t] + coming[t], gap[t], np.cumsum(sizes) - sizes, sizes, self.trans)
+            alive[:] = False
+            alive[doc[a[e[moved >= TOLERANCE]]]] = True
+            if not alive.any():
+                break
+        return p, (cavity[:m] * cavity[m:]).sum(axis=1)
 
 
 def _read(raw_texts: list[bytes]):
@@ -223,11 +245,11 @@ def prepare(buf, starts):
     """Everything inference needs about the tokens near digits and at signs."""
     s, e, row = tokenize(buf, starts)
     kind, gap, digits = describe(buf, s, e, row)
-    tokens, place, size = segments_of(kind, digits, row)
+    tokens, place, size = segments_of(kind, digits, row, gap)
     s, e, row, kind, gap, digits = (v[tokens] for v in (s, e, row, kind, gap, digits))
     seg = np.repeat(np.arange(len(place)), size)
     h = hash_spans(buf, s, e)
-    return s, e, row, kind, gap, place, size, features(kind, gap, digits, seg), skip_edges(h, kind, e - s, row)
+    return s, e, row, kind, gap, place, size, features(kind, gap, digits, seg), skip_edges(h, kind, e - s, row, place)
 
 
 # ---- training sentences -----------------------------------------------------------------
@@ -239,8 +261,10 @@ def _sentence(rng) -> tuple[bytes, list[tuple[int, int, int]]]:
     word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 5))))
 
     def email():
-        local = pick([word(), word() + "." + num(2), word() + "_" + word(), word() + num(1), word() + "+" + word(), num(3) + word(), word() + "-" + word() + "." + word()])
-        host = pick(["mail" + num(1) + ".example.com", word().encode("ascii", "ignore").decode() + "x.org", "mx.site" + num(2) + ".co.uk", "example.com"])
+        plain = lambda: word().encode("ascii", "ignore").decode() or "x"
+        local = pick([word(), word() + "." + num(2), word() + "_" + word(), word() + num(1), word() + "+" + word(), num(3) + word(), word() + "-" + word() + "." + word(), ".".join(word() for _ in range(int(rng.integers(2, 6))))])
+        end = pick(["com", "org", "net", "co.uk", "de", "io", "edu", "ac.jp"])
+        host = pick([f"mail{num(1)}.{plain()}.{end}", f"{plain()}.{end}", f"mx.{plain()}{num(2)}.{end}", f"{plain()}-{plain()}.{end}", f"{plain()}.{plain()}.{plain()}.{end}", f"{plain()}{num(1)}-{plain()}.{plain()}.{end}"])
         return local + "@" + host
 
     def phone():
@@ -254,14 +278,15 @@ def _sentence(rng) -> tuple[bytes, list[tuple[int, int, int]]]:
         return pick([num(16), num(16), num(16), " ".join(num(4) for _ in range(4)), "-".join(num(4) for _ in range(4)), num(15)])
 
     def plain():
-        return pick([f"{num(1)}.{num(1)}", num(1), num(2), "20" + num(2), f"${num(2)}.{num(2)}", f"{num(2)}:{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(1)},{num(3)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(3)}.{num(3)}", num(6), num(5), f"{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(1)}", f"({num(1)})", f"+{num(1)}", f"{num(1)}-{num(1)}", f"{num(2)}%",
+        return pick([f"{num(1)}.{num(1)}", num(1), num(2), "20" + num(2), f"20{num(2)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}T{num(2)}:{num(2)}", f"{num(3)} {num(4)}", f"{num(2)} {num(3)} {num(2)}", f"${num(2)}.{num(2)}", f"{num(2)}:{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(1)},{num(3)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(3)}.{num(3)}", num(6), num(5), f"{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(1)}", f"({num(1)})", f"+{num(1)}", f"{num(1)}-{num(1)}", f"{num(2)}%",
                      'token = "' + "".join(pick("0123456789abcdef") for _ in range(40)) + '"', "key=" + "".join(pick(string.ascii_letters + string.digits) for _ in range(20)), word() + num(2), "@" + word(), word() + " @ " + word(), f"v{num(1)}.{num(1)}", num(8), "300.400.500.600", f"{num(3)}.{num(3)}.{num(3)}.{num(3)}.{num(3)}", num(22)])
 
+    # signs that stand beside words and values: any but those that values are made of
+    signs = [c for c in string.punctuation if ord(c) not in SIGNS]
+    noise = lambda: pick(signs) * int(rng.integers(1, 5))
     makers = {1: email, 2: phone, 3: ip, 4: card, 5: lambda: f"{num(3)}-{num(2)}-{num(4)}"}
-    mark = pick([""] * 6 + ["!!", "%%%", "|"])
-    marks = ["%%%", "&&&", "***", "$$$", "###"]
     out, spans, memory = "", [], []
-    upper = mark == "!!"
+    noisy, upper, glue = rng.random() < 0.35, rng.random() < 0.12, pick([" ", " ", " ", "\n", "\t", " | ", "; ", ";", ",", "|"])
     for _ in range(int(rng.integers(2, 6))):
         text = " ".join(word() for _ in range(int(rng.integers(0, 10))))
         if rng.random() < 0.65:
@@ -271,20 +296,17 @@ def _sentence(rng) -> tuple[bytes, list[tuple[int, int, int]]]:
         else:
             value = (0, plain())
         label, value = value
-        end = pick(["", "", "", ".", ",", ";", ")", "?"]) if not mark else ""
-        if mark and mark != "|":
-            tail = lambda: mark if mark == "!!" else pick(marks)
-            text = " ".join(w + tail() for w in text.split())
+        if noisy:
+            text = " ".join(w + noise() if rng.random() < 0.8 else w for w in text.split())
             parts = value.split(" ")
-            value = "".join(p + (tail() + " " if k < len(parts) - 1 and rng.random() < 0.7 else " " if k < len(parts) - 1 else "") for k, p in enumerate(parts))
-            end = tail()
-        elif mark:
-            end = " |"
+            value = "".join(p + ((noise() if rng.random() < 0.6 else "") + " " if k < len(parts) - 1 else "") for k, p in enumerate(parts))
         if upper:
             text, value = text.upper(), value.upper() if label != 0 else value
-        out += text + (" " if text else "")
+        end = noise() if noisy else pick(["", "", "", ".", ",", ";", ")", "?", "!"])
+        before = pick(["", "", "", "", "(", "<", "'", '"', "=", word() + ";", word() + ","]) if not noisy and label else ""
+        out += text + (" " if text else "") + before
         spans.append((len(out.encode()), len((out + value).encode()), label))
-        out += value + end + pick([" ", " ", "\n"])
+        out += value + end + glue
     return out.encode(), [x for x in spans if x[2]]
 
 
@@ -317,13 +339,18 @@ def train() -> Crf:
             m += 0.1 * (g - m)
             q += 0.001 * (g * g - q)
             v -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
-    skip = np.zeros(2)
-    for sort in (0, 1):
-        pairs = edges[edges[:, 2] == sort]
-        agree = (y[pairs[:, 0]] == y[pairs[:, 1]]).mean() if len(pairs) else 0.5
-        agree = min(max(agree, 0.5), 0.98)
-        skip[sort] = np.log(agree * (L - 1) / (1 - agree)) / 2  # half: each token has edges on two sides
-    return Crf(w, t, skip)
+    crf = Crf(w, t, np.zeros(2))
+    agree = y[edges[:, 0]] == y[edges[:, 1]]
+    m, q = np.zeros(2), np.zeros(2)
+    for step in range(1, SKIP_EPOCHS + 1):
+        alone = crf._propagate(x, gap, place, size, edges, row)[1]
+        odds = np.exp(crf.skip[edges[:, 2]]) * alone
+        short = agree - odds / (odds + 1 - alone)
+        g = np.array([short[edges[:, 2] == sort].mean() if (edges[:, 2] == sort).any() else 0.0 for sort in (0, 1)])
+        m += 0.1 * (g - m)
+        q += 0.001 * (g * g - q)
+        crf.skip = crf.skip + 0.4 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
+    return crf
 
 
 def entities(crf: Crf, buf: np.ndarray, starts: np.ndarray):
@@ -331,7 +358,7 @@ def entities(crf: Crf, buf: np.ndarray, starts: np.ndarray):
     s, e, row, kind, gap, place, size, x, edges = prepare(buf, starts)
     if not len(s):
         return []
-    p = crf.marginals(x, gap, place, size, edges)
+    p = crf.marginals(x, gap, place, size, edges, row)
     label = p.argmax(axis=1)
     new = np.ones(len(s), bool)
     new[1:] = label[1:] != label[:-1]
