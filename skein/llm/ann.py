@@ -177,10 +177,10 @@ def fit_router(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int,
     return r
 
 
-def learn(vectors: DataFrame, dim: int, n: int, k: int) -> Router:
+def learn(vectors: DataFrame, dim: int, n: int, k: int, rows_per_partition: int) -> Router:
     """Partitions and routing from a sample; the number of probes from exact neighbours."""
     parts = 1
-    while parts < MAX_PARTITIONS and parts * ROWS_PER_PARTITION < n:
+    while parts < MAX_PARTITIONS and parts * rows_per_partition < n:
         parts *= 2
     ids, x = sample(vectors, min(SAMPLE_ROWS, max(2_048, parts * SAMPLE_PER_PARTITION)), dim)
     graph = top_k(x, x, min(GRAPH_K, max(1, len(x) - 1)), np.arange(len(x)))[0]
@@ -217,15 +217,16 @@ def learn(vectors: DataFrame, dim: int, n: int, k: int) -> Router:
     return router
 
 
-def nearest(table: DataFrame, k: int = K) -> DataFrame:
+def nearest(table: DataFrame, k: int = K, rows_per_partition: int | None = None) -> DataFrame:
     """query_id, neighbour_id, rank, score (cosine, six decimals) of k neighbours of every row."""
+    rows_per_partition = rows_per_partition or ROWS_PER_PARTITION
     spark = table.sparkSession
     found, dim = usable_vectors(table)
     vectors = materialise(found)
     n = vectors.count()
     if n < 2:
         return spark.createDataFrame([], RESULT)
-    router = learn(vectors, dim, n, k)
+    router = learn(vectors, dim, n, k, rows_per_partition)
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches):
@@ -238,7 +239,7 @@ def nearest(table: DataFrame, k: int = K) -> DataFrame:
 
     routed = materialise(vectors.mapInArrow(route, "vec_id long, v binary, parts array<int>"))
     # queries of one partition are spread over slots, each of which gets all its members
-    slots = max(1, min(64, n // (ROWS_PER_PARTITION * 8)))
+    slots = max(1, min(64, n // (rows_per_partition * 8)))
     slot = F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int")
     members = routed.select(F.element_at("parts", 1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "vec_id", "v")
     queries = routed.select(F.explode("parts").alias("part"), slot.alias("slot"), "vec_id", "v")
@@ -260,6 +261,22 @@ def nearest(table: DataFrame, k: int = K) -> DataFrame:
     return ranked.select("query_id", "neighbour_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def recall(table: DataFrame, k: int = K, rows_per_partition: int = 25) -> DataFrame:
+    """One row: vectors, their exact neighbours, and whether `nearest` finds 0.9 of them.
+
+    Partitions are small, so that routing is put to the test on small tables too; the exact
+    side is one partition.
+    """
+    exact = nearest(table, k, rows_per_partition=1 << 62).select("query_id", "neighbour_id")
+    routed = nearest(table, k, rows_per_partition).select("query_id", "neighbour_id")
+    hits = exact.join(routed, ["query_id", "neighbour_id"], "left_semi").agg(F.count("*").alias("hits"))
+    return exact.agg(F.countDistinct("query_id").alias("vectors"), F.count("*").alias("neighbours")).crossJoin(hits).select("vectors", "neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("reached"))
+
+
+def recall_sql(k: int = K) -> str:
+    return f"SELECT count(*) AS vectors, CAST(count(*) * least({k}, count(*) - 1) AS BIGINT) AS neighbours, true AS reached FROM embeddings"
+
+
 def oracle_sql(k: int = K) -> str:
     """Exact neighbours in DuckDB; the same where one partition holds all, as in small tables."""
     return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

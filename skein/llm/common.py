@@ -23,11 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder path inside the shared folder named by spark.checkpoint.dir.
 
-    Where the session names none (tests), a temporary folder is set as checkpoint folder.
+    Where the session names none, a local session (tests) gets a temporary folder; on a
+    cluster, whose machines don't share one, it is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skein-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"

@@ -69,10 +69,10 @@ class Quantiser:
         return np.stack([((parts[:, m] ** 2).sum(1)[:, None] - 2 * parts[:, m] @ book.T + (book**2).sum(1)) for m, book in enumerate(self.books)])
 
 
-def train(vectors: DataFrame, dim: int, n: int) -> Quantiser:
+def train(vectors: DataFrame, dim: int, n: int, rows_per_list: int) -> Quantiser:
     """Coarse lists and codebooks from a sample of at most SAMPLE_ROWS vectors."""
     _, x = sample(vectors, SAMPLE_ROWS, dim)
-    coarse = kmeans(x, max(1, min(MAX_LISTS, n // ROWS_PER_LIST, len(x) // 8)))
+    coarse = kmeans(x, max(1, min(MAX_LISTS, n // rows_per_list, len(x) // 8)))
     near = ((coarse**2).sum(1) - 2 * x @ coarse.T).argmin(1)
     width = -(-dim // min(SUBSPACES, dim))
     spaces = -(-dim // width)
@@ -83,8 +83,9 @@ def train(vectors: DataFrame, dim: int, n: int) -> Quantiser:
     return Quantiser(coarse, np.stack([kmeans(parts[:, m], k, rounds=8) for m in range(spaces)]), dim)
 
 
-def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_pairs(table: DataFrame, threshold: float = THRESHOLD, rows_per_list: int | None = None) -> DataFrame:
     """(a, b, cosine to six decimals) of all pairs a < b with cosine at least threshold."""
+    rows_per_list = rows_per_list or ROWS_PER_LIST
     spark = table.sparkSession
     found, dim = usable_vectors(table)
     vectors = materialise(found)
@@ -92,7 +93,7 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if n < 2:
         return spark.createDataFrame([], RESULT)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-    shared = spark.sparkContext.broadcast(train(vectors, dim, n))
+    shared = spark.sparkContext.broadcast(train(vectors, dim, n, rows_per_list))
 
     def code(batches):
         pq = shared.value
@@ -129,7 +130,7 @@ def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     probing = coded.select("vec_id", "v", "list").mapInArrow(probe, "vec_id long, v binary, home int, lists array<int>").select(F.explode("lists").alias("list"), "home", "vec_id", "v")
     # members of a list go to every slot of its queries, so that a long list has many tasks
-    slots = max(1, min(64, n // (ROWS_PER_LIST * 32)))
+    slots = max(1, min(64, n // (rows_per_list * 32)))
     queries = probing.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int"))
     members = coded.select("list", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "vec_id", "code", "error")
 

@@ -49,8 +49,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.document_token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def routed_neighbours_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 over partitions of 25 vectors against the exact neighbours."""
+    return ann.recall(read_table(spark, sf_dir, "embeddings"))
+
+
+def near_pairs_over_many_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 over lists of about 16 vectors and a wider threshold, so that probing is put to the test on small tables."""
+    return pq.near_pairs(read_table(spark, sf_dir, "embeddings"), threshold=0.4, rows_per_list=16)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op4_pii, op5_bpe_codec, op6_nearest_neighbours, op7_simhash_near_dedup, op8_packing, op9_embedding_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_language_id, op4_pii, op5_bpe_codec, op6_nearest_neighbours, op7_simhash_near_dedup, op8_packing, op9_embedding_near_dedup, op10_token_counts, routed_neighbours_recall, near_pairs_over_many_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -59,4 +69,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_nearest_neighbours": ann.oracle_sql(),
         "op8_packing": packing.oracle_sql(),
         "op9_embedding_near_dedup": pq.oracle_sql(),
+        "routed_neighbours_recall": ann.recall_sql(),
+        "near_pairs_over_many_lists": pq.oracle_sql(0.4),
     }

@@ -13,7 +13,8 @@ leaves no file counted twice.
 
 Defined results: a null or empty text is a document of 0 tokens; so are neighbouring
 end-of-document ids; ids after the last one are a document not yet ended, and counted; an
-empty file holds none; a file whose size isn't a multiple of the id width raises.
+empty file holds none; a file whose size isn't a multiple of the id width raises, and so
+does a vocabulary with ids that don't fit the width or with the end mark among them.
 """
 from __future__ import annotations
 
@@ -54,6 +55,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = f"{TOKENIZ
     """One flat file for each partition; returns (path, n_bytes, ord, doc_id), a row for each document."""
 
     def run(batches):
+        if eod > np.iinfo(DTYPE).max:
+            raise ValueError(f"{eod} is no id of {DTYPE}")
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.bin"
@@ -65,7 +68,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = f"{TOKENIZ
                     data = []
                     for text in part.column(1).to_pylist():
                         if text:
-                            data.append(e.encode_to_numpy(text, disallowed_special=()).astype(DTYPE))
+                            found = e.encode_to_numpy(text, disallowed_special=())
+                            if len(found) and found.max() > np.iinfo(DTYPE).max or (found == eod).any():
+                                raise ValueError(f"the vocabulary has ids that {DTYPE} or the end mark {eod} can't tell apart")
+                            data.append(found.astype(DTYPE))
                         data.append(np.array([eod], DTYPE))
                     raw = np.concatenate(data).tobytes()
                     out.write(raw)
@@ -115,10 +121,15 @@ def document_token_counts(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOC
     """doc_id and n_tokens of every document, by way of flat token files in the shared folder."""
     spark: SparkSession = docs.sparkSession
     folder = scratch_dir(spark)
+    try:
+        return _counted(docs, folder, vocabulary)
+    finally:
+        remove_path(spark, folder)
+
+
+def _counted(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
     written = materialise(write_token_files(docs, folder, vocabulary))
     files = written.groupBy("path").agg(F.max("n_bytes").alias("n_bytes"))
     counts = token_counts(files).select("path", "ord", "n_tokens")
     # a sorted merge: both sides hold a row for each document and are never broadcast
-    result = materialise(written.hint("merge").join(counts, ["path", "ord"]).select("doc_id", "n_tokens"))
-    remove_path(spark, folder)
-    return result
+    return materialise(written.hint("merge").join(counts, ["path", "ord"]).select("doc_id", "n_tokens"))

@@ -1,7 +1,7 @@
 import re
 
 from skein.llm import secrets
-from tests.llm.util import awkward, empty, rows, SCHEMA, table
+from tests.llm.util import awkward, clashing, empty, rows, same_rows, SCHEMA, table
 
 HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 
@@ -87,3 +87,10 @@ def test_a_private_key_goes_with_its_body(spark):
         assert r["text"].replace("\\n", "\n") == f"before {mark}\né after -- {mark}\n-----BEGIN CERTIFICATE-----"
     prints = [r["fingerprint"] for r in secrets.find_secrets(table(spark, [PEM, PEM.replace("abc", "xyz"), PEM.replace("aaa", "xyz")])).collect()]
     assert len(set(prints)) == 2
+
+
+def test_names_of_other_columns_are_kept(spark):
+    docs = clashing(spark)
+    kept = secrets.redact(docs)
+    assert kept.columns == docs.columns
+    same_rows(kept, docs, [0, 1, 2, 3])

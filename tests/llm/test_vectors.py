@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -89,3 +91,20 @@ def test_cosines_closer_than_float32_are_told_apart(spark):
     np.fill_diagonal(s, -9)
     got = {(r["query_id"], r["rank"], r["neighbour_id"]) for r in ann.nearest(frame(spark, x), 5).collect() if r["query_id"] == 0}
     assert got == {(0, r, int(j)) for r, j in enumerate(np.argsort(-s[0], kind="stable")[:5], 1)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_queries_over_many_partitions_equal_their_sql(spark, sf):
+    import duckdb
+
+    from skein.llm import queries
+
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    for name in ("routed_neighbours_recall", "near_pairs_over_many_lists"):
+        got = queries.queries()[name](spark, folder).toPandas()
+        assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, db.execute(queries.oracle_sql()[name]).df()[list(got.columns)].to_numpy().tolist()))
+        assert len(got)
