@@ -20,7 +20,7 @@ def metric_counts(t: Column) -> Column:
 def acronyms(t: Column) -> Column:
     """array of (name, kind): capital words of three or more; the 60 characters around the first place tell dataset from method."""
     t = F.coalesce(t, F.lit(""))
-    names = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b[A-Z][A-Z0-9]{2,}\b"), 0))
+    names = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][A-Z0-9]{2,}(?![\p{L}\p{N}_])"), 0))
 
     def kind(name: Column) -> Column:
         at = F.position(name, t)

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,9 +90,30 @@ def audit(papers: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def corpus_version(files: DataFrame) -> DataFrame:
-    """djb2 modulo 2^64 over "path|vN", joined by two bars in order of path; 128 bits keep the fold exact."""
-    joined = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_path", "version"))), lambda s: F.concat(s["file_path"], F.lit("|v"), s["version"].cast("string"))), "||").alias("t"))
-    codes = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.ascii(F.substr("t", i, F.lit(1))).cast("decimal(38,0)"))
-    two64 = F.lit(str(2**64)).cast("decimal(38,0)")
-    start = F.lit(5381).cast("decimal(38,0)")
-    return joined.select(F.when(F.length("t") == 0, start).otherwise(F.aggregate(codes, start, lambda h, c: ((h * F.lit(33).cast("decimal(4,0)") + c) % two64).cast("decimal(38,0)"))).cast("string").alias("version"))
+    """djb2 modulo 2^64 over "path|vN", joined by two bars in order of path.
+
+    The hash of two texts laid end to end is a * 33^len(b) + b, so each range of sorted files is
+    folded in its own task and only a row for each range is put together on the driver.
+    """
+    spark = files.sparkSession
+    named = files.select("file_path", "version", F.concat("file_path", F.lit("|v"), F.col("version").cast("string")).alias("t"))
+    ordered = named.repartitionByRange("file_path", "version").sortWithinPartitions("file_path", "version").select(F.spark_partition_id().alias("part"), "t")
+
+    def fold(batches):
+        part, h, power = None, 0, 1
+        for b in batches:
+            for p, t in zip(b["part"], b["t"]):
+                text = t if part is None else "||" + t
+                part = p
+                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+                powers = np.concatenate(([np.uint64(1)], np.full(len(codes), np.uint64(33)))).cumprod(dtype=np.uint64)
+                h = (h * int(powers[-1]) + int((codes * powers[:-1][::-1]).sum(dtype=np.uint64))) % 2**64
+                power = power * int(powers[-1]) % 2**64
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "h": [str(h)], "power": [str(power)]})
+
+    value, first = 5381, True
+    for r in sorted(ordered.mapInPandas(fold, "part int, h string, power string").collect(), key=lambda r: r["part"]):
+        bars = value if first else (value * 33 + 124) * 33 + 124
+        value, first = (bars * int(r["power"]) + int(r["h"])) % 2**64, False
+    return spark.createDataFrame([(str(value),)], "version string")

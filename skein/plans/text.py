@@ -101,7 +101,7 @@ def tfidf(spark, sf_dir):
     return rounded(claims.tfidf(_bench(spark, sf_dir), "id", "text", 1_200), "weight")
 
 
-SQL_CLAIMS = f"""{SQL_TEXTS}, cs AS (SELECT paper_id, topic AS cluster_id, year, {sql_sentences('summary')} AS s FROM texts WHERE paper_id < 60),
+SQL_CLAIMS = f"""{SQL_TEXTS}, cs AS (SELECT paper_id, topic AS cluster_id, year, {sql_sentences('summary')} AS s FROM texts),
 cf AS (SELECT paper_id, cluster_id, year, list_filter(s, lambda x: {sql_any('x', T.CLAIM_STEMS)}) AS st, s FROM cs),
 ce AS (SELECT paper_id, cluster_id, year, CASE WHEN len(st) > 0 THEN st ELSE s[1:1] END AS c, CASE WHEN len(st) > 0 THEN 0.6 ELSE 0.4 END AS strength FROM cf),
 cl AS (SELECT paper_id, cluster_id, year, strength, unnest(range(0, len(c))) AS i, unnest(c) AS statement FROM ce),
@@ -109,12 +109,12 @@ claims AS (SELECT paper_id || '#' || i AS claim_id, paper_id, cluster_id, year,
 
 
 def _claims(spark, sf_dir):
-    return claims.extract_claims(texts(spark, sf_dir).where("paper_id < 60").withColumnRenamed("topic", "cluster_id"))
+    return claims.extract_claims(texts(spark, sf_dir).withColumnRenamed("topic", "cluster_id"))
 
 
-@query(f"WITH {SQL_CLAIMS} SELECT claim_id, paper_id, CAST(strength AS DOUBLE) AS strength, sign, length(statement) AS size FROM claims")
+@query(f"WITH {SQL_CLAIMS} SELECT claim_id, paper_id, CAST(strength AS DOUBLE) AS strength, sign, trim(statement, ' ') AS statement FROM claims")
 def extracted_claims(spark, sf_dir):
-    return _claims(spark, sf_dir).select("claim_id", "paper_id", "strength", "sign", F.length("statement").alias("size"))
+    return _claims(spark, sf_dir).select("claim_id", "paper_id", "strength", "sign", "statement")
 
 
 def _bench_claims(spark, sf_dir):
@@ -158,11 +158,11 @@ def gap_sentences(spark, sf_dir):
 
 def _typed(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    claim = o.where("o_orderkey <= 600").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("cluster_id"), F.concat_ws(" ", F.when(F.col("o_orderkey") % 3 == 0, "we improve").otherwise("we test"), F.when(F.col("o_orderkey") % 5 == 0, "it does not hold").when(F.col("o_orderkey") % 7 == 0, "it extends")).alias("statement"), F.when(F.col("o_custkey") % 4 > 0, (F.col("o_custkey") % 40).cast("string")).alias("dataset"), F.array((F.col("o_custkey") % 31).cast("string")).alias("metrics"))
+    claim = o.select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("cluster_id"), F.concat_ws(" ", F.when(F.col("o_orderkey") % 3 == 0, "we improve").otherwise("we test"), F.when(F.col("o_orderkey") % 5 == 0, "it does not hold").when(F.col("o_orderkey") % 7 == 0, "it extends")).alias("statement"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey").cast("string")).alias("dataset"), F.array(F.floor(F.col("o_totalprice") / 10).cast("string")).alias("metrics"))
     return claim
 
 
-SQL_TYPED = """tc AS (SELECT o_orderkey AS claim_id, o_custkey AS paper_id, o_orderpriority AS cluster_id, concat_ws(' ', CASE WHEN o_orderkey % 3 = 0 THEN 'we improve' ELSE 'we test' END, CASE WHEN o_orderkey % 5 = 0 THEN 'it does not hold' WHEN o_orderkey % 7 = 0 THEN 'it extends' END) AS s, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 40 END AS d, o_custkey % 31 AS m FROM orders WHERE o_orderkey <= 600),
+SQL_TYPED = """tc AS (SELECT o_orderkey AS claim_id, o_custkey AS paper_id, o_orderpriority AS cluster_id, concat_ws(' ', CASE WHEN o_orderkey % 3 = 0 THEN 'we improve' ELSE 'we test' END, CASE WHEN o_orderkey % 5 = 0 THEN 'it does not hold' WHEN o_orderkey % 7 = 0 THEN 'it extends' END) AS s, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS d, CAST(floor(o_totalprice / 10) AS BIGINT) AS m FROM orders),
 rl AS (SELECT a.claim_id AS src, b.claim_id AS dst, CASE WHEN contains(a.s, 'improve') AND contains(b.s, 'does not') THEN 'contradicts' WHEN contains(b.s, 'extends') THEN 'extends' WHEN contains(a.s, 'improve') AND contains(b.s, 'improve') THEN 'supports' ELSE 'comparesTo' END AS kind,
  a.cluster_id AS ca, b.cluster_id AS cb, a.paper_id AS pa, b.paper_id AS pb FROM tc a JOIN tc b ON a.claim_id <> b.claim_id AND (a.d = b.d OR a.m = b.m))"""
 
@@ -221,26 +221,37 @@ def duplicate_groups(spark, sf_dir):
     return hygiene.duplicate_groups(hygiene.duplicate_pairs(knn.knn(p), p, cosine=0.4))
 
 
-@query(f"""WITH {SQL_TEXTS}, c AS (SELECT doc_id AS paper_id, length(text) AS l FROM documents WHERE doc_id % 5 <> 0),
-f AS (SELECT t.paper_id, list_filter([CASE WHEN length(trim(title)) < 5 THEN 'missing_title' END, CASE WHEN t.year IS NULL THEN 'missing_year' END, CASE WHEN c.l IS NULL THEN 'missing_chunks' END, CASE WHEN length(trim(summary)) < 60 THEN 'short_summary' END, CASE WHEN coalesce(c.l, 0) < 1200 THEN 'low_text_yield' END], lambda x: x IS NOT NULL) AS flags FROM texts t LEFT JOIN c USING (paper_id))
-SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM f) GROUP BY ALL""")
-def ingestion_flags(spark, sf_dir):
+SQL_FLAGS = f"""WITH {SQL_TEXTS}, c AS (SELECT doc_id AS paper_id, length(text) AS l FROM documents WHERE doc_id % 5 <> 0),
+f AS (SELECT t.paper_id, coalesce(c.l, 0) AS l, CAST(c.l IS NOT NULL AS BIGINT) AS n, list_filter([CASE WHEN length(trim(title)) < 5 THEN 'missing_title' END, CASE WHEN t.year IS NULL THEN 'missing_year' END, CASE WHEN c.l IS NULL THEN 'missing_chunks' END, CASE WHEN length(trim(summary)) < 60 THEN 'short_summary' END, CASE WHEN coalesce(c.l, 0) < 1200 THEN 'low_text_yield' END], lambda x: x IS NOT NULL) AS flags FROM texts t LEFT JOIN c USING (paper_id))"""
+
+
+def _flags(spark, sf_dir):
     t = texts(spark, sf_dir)
-    chunks = t.where("paper_id % 5 <> 0").select("paper_id", F.col("summary").alias("text"))
-    return hygiene.flag_totals(hygiene.ingestion_flags(t, chunks))
+    return hygiene.ingestion_flags(t, t.where("paper_id % 5 <> 0").select("paper_id", F.col("summary").alias("text")))
+
+
+@query(f"""{SQL_FLAGS} SELECT paper_id, array_to_string(flags, ',') AS flags, l AS text_length, n AS chunk_count FROM f""")
+def ingestion_flags(spark, sf_dir):
+    return _flags(spark, sf_dir).withColumn("flags", F.array_join("flags", ","))
+
+
+@query(f"""{SQL_FLAGS} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM f) GROUP BY ALL""")
+def ingestion_flag_totals(spark, sf_dir):
+    return hygiene.flag_totals(_flags(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT string_agg(p_name || '|v' || p_size, '||' ORDER BY p_name, p_size) AS t FROM part WHERE p_partkey <= 3), RECURSIVE_FREE AS (SELECT list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS HUGEINT)) AS c FROM t)
+@query("""WITH t AS (SELECT string_agg(p_name || '|v' || p_size, '||' ORDER BY p_name, p_size) AS t FROM part), RECURSIVE_FREE AS (SELECT list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS HUGEINT)) AS c FROM t)
 SELECT CAST(list_reduce(list_prepend(CAST(5381 AS HUGEINT), c), lambda h, x: (h * 33 + x) % CAST(18446744073709551616 AS HUGEINT)) AS VARCHAR) AS version FROM RECURSIVE_FREE""".replace("RECURSIVE_FREE", "codes"))
 def corpus_version(spark, sf_dir):
-    return hygiene.corpus_version(read(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_name").alias("file_path"), F.col("p_size").alias("version")))
+    return hygiene.corpus_version(read(spark, sf_dir, "part").select(F.col("p_name").alias("file_path"), F.col("p_size").alias("version")))
 
 
 @query()
 def title_similarity(spark, sf_dir):
-    t = texts(spark, sf_dir).where("paper_id < 40").select("paper_id", "title")
+    """Of each paper's title and the next one's; the sequence ratio has no SQL."""
+    t = texts(spark, sf_dir).select("paper_id", "title")
     a, b = t.select(F.col("paper_id").alias("a"), F.col("title").alias("x")), t.select(F.col("paper_id").alias("b"), F.col("title").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", hygiene.title_similarity(F.col("x"), F.col("y")).alias("similarity"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", hygiene.title_similarity(F.col("x"), F.col("y")).alias("similarity"))
 
 
 @query("""SELECT doc_id AS paper_id, CASE WHEN length(f) <= 80 THEN f ELSE rtrim(substr(f, 1, 79)) || '…' END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)""")
@@ -248,13 +259,12 @@ def clipped_text(spark, sf_dir):
     return texts(spark, sf_dir).select("paper_id", T.clip(F.col("summary"), 80).alias("clipped"))
 
 
-SQL_CAPS = "SELECT doc_id AS paper_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{2,}\\b'))) AS name FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+SQL_CAPS = "SELECT doc_id AS paper_id, unnest(list_distinct(list_filter(string_split(regexp_replace(text, '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda w: regexp_full_match(w, '[A-Z][A-Z0-9]{2,}')))) AS name FROM documents"
 
 
-@query(f"WITH a AS ({SQL_CAPS}) SELECT paper_id, count(*) AS n FROM a GROUP BY ALL")
+@query(SQL_CAPS)
 def acronyms(spark, sf_dir):
-    ascii_only = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return ascii_only.select(F.col("doc_id").alias("paper_id"), F.explode(entities.acronyms(F.col("text"))).alias("e")).groupBy("paper_id").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.explode(entities.acronyms(F.col("text"))).alias("e")).select("paper_id", "e.name")
 
 
 @query()
