@@ -9,10 +9,12 @@ the next one begins after it. Phrases divided by letters is the cross-parsing ra
 language that needs fewest wins. Texts are folded to lower case; runs of bytes that are no
 letters count as one space.
 
-A text is rejected if it has no letters, or if its rate is above `reject_rate`, which is
-set from the sample: midway between the rate of held-out labelled text and that of the
-same letters in shuffled order, a text of no language. For a text of few letters the
-limit is raised by three standard errors, so that a short clean text isn't lost by chance.
+A text is rejected if it has no letters, or if its rate is above `reject_rate` where every
+`PART_BYTES` may go to the language that needs fewest phrases for them, so that a text in
+two languages is kept. The limit is set from the sample: midway between that rate of
+held-out labelled text and of the same letters in shuffled order, a text of no language.
+For a text of few letters the limit is raised by three standard errors, so that a short
+clean text isn't lost by chance.
 
 Defined results: null, empty and letterless texts have language null, rate null and are
 rejected; equal rates go to the language first in the alphabet; repeated rows get equal
@@ -33,6 +35,7 @@ from skein.llm.common import SEPARATOR, map_rows, map_texts, sample_ids, slices,
 
 TRAIN_BYTES = 16_384
 DOCS_PER_LANGUAGE = 48
+PART_BYTES = 512
 SLICE_BYTES = 6 << 20
 RESULT = "doc_id long, language string, phrases long, letters long, rate double, keep boolean"
 
@@ -81,12 +84,12 @@ class LanguageModel:
         self.machines = [automata.suffix_automaton(self.byte_class[train[x][train[x] != SEPARATOR]], self.byte_class, classes) for x in self.languages]
         rng = np.random.default_rng(7)
         inside, outside = [], []
-        for k, lang in enumerate(self.languages):
+        for lang in self.languages:
             text = held[lang]
             mixed = rng.permutation(text)
             for data, out in ((text, inside), (mixed, outside)):
                 buf, starts, letters = fold(np.array([0, len(data)]), np.where(data == SEPARATOR, np.uint8(32), data))
-                out.append(float(self._phrases(self.machines[k], self._grid(buf), buf, starts)[0] / max(1, letters[0])))
+                out.append(float(self._phrases(buf, starts)[1][0] / max(1, letters[0])))
         self.inside = max(inside, default=0.0)
         self.reject_rate = (self.inside + min(outside, default=1.0)) / 2
 
@@ -105,13 +108,14 @@ class LanguageModel:
         off = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
         return fold(off, raw)[0] if texts else np.zeros(0, np.uint8)
 
-    def _grid(self, buf: np.ndarray) -> np.ndarray:
-        return automata.class_grid(self.machines[0], buf)
-
-    @staticmethod
-    def _phrases(m: automata.Machine, grid: np.ndarray, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        flags = automata.scan_flags(m, grid, len(buf))
-        return np.add.reduceat(flags, starts[:-1], dtype=np.int64)
+    def _phrases(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases of each language and text, phrases of each text whose parts go to their best languages)."""
+        grid = automata.class_grid(self.machines[0], buf)
+        parts = -(-np.diff(starts) // PART_BYTES)
+        first = np.cumsum(parts) - parts
+        begins = np.repeat(starts[:-1], parts) + PART_BYTES * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+        counts = np.stack([np.add.reduceat(automata.scan_flags(m, grid, len(buf)), begins, dtype=np.int64) for m in self.machines])
+        return np.add.reduceat(counts, first, axis=1), np.add.reduceat(counts.min(axis=0), first)
 
     def classify(self, offsets: np.ndarray, raw: np.ndarray):
         """(language number or -1, phrases, letters, keep) of each text."""
@@ -119,11 +123,10 @@ class LanguageModel:
         if not len(letters) or not self.machines:
             none = np.zeros(len(letters), np.int64)
             return none - 1, none, letters, letters >= 0
-        grid = self._grid(buf)
-        counts = np.stack([self._phrases(m, grid, buf, starts) for m in self.machines])
+        counts, least = self._phrases(buf, starts)
         best = counts.argmin(axis=0)
         phrases = counts.min(axis=0)
-        rate = phrases / np.maximum(letters, 1)
+        rate = least / np.maximum(letters, 1)
         limit = self.reject_rate + 3 * np.sqrt(self.reject_rate / np.maximum(letters, 1))
         return np.where(letters > 0, best, -1), phrases, letters, (letters > 0) & (rate <= limit)
 

@@ -50,15 +50,16 @@ def test_awkward_and_empty_tables(spark):
     assert kept.count() == 12 and kept.columns == awkward(spark).columns
 
 
-def parse(text: bytes, sample: bytes) -> int:
-    """Longest matches in the sample, one after another; a symbol that isn't there is a phrase of its own."""
-    i = n = 0
+def parse(text: bytes, sample: bytes) -> list[int]:
+    """Where phrases begin: longest matches in the sample, one after another; a symbol that isn't there is a phrase of its own."""
+    i, out = 0, []
     while i < len(text):
         j = i + 1
         while j < len(text) and text[i: j + 1] in sample:
             j += 1
-        i, n = j, n + 1
-    return n
+        out.append(i)
+        i = j
+    return out
 
 
 def brute(texts, model):
@@ -66,14 +67,22 @@ def brute(texts, model):
     for i, t in enumerate(texts):
         folded = re.sub(rb"[^a-z\x80-\xff]+", b" ", (t or "").lower().encode()).lstrip(b" ")
         letters = len(folded.replace(b" ", b""))
-        counts = {lang: parse(folded, model.samples[lang]) for lang in model.languages}
-        best = min(counts, key=lambda k: (counts[k], k)) if letters else None
-        rate = min(counts.values()) / letters if letters else None
+        begins = {lang: parse(folded, model.samples[lang]) for lang in model.languages}
+        best = min(begins, key=lambda k: (len(begins[k]), k)) if letters else None
+        rate = len(begins[best]) / letters if letters else None
+        least = sum(min(sum(a <= x < a + langid.PART_BYTES for x in b) for b in begins.values()) for a in range(0, len(folded), langid.PART_BYTES))
         limit = model.reject_rate + 3 * (model.reject_rate / letters) ** 0.5 if letters else 0
-        out[i] = (best, rate, letters > 0 and rate <= limit)
+        out[i] = (best, rate, letters > 0 and least / letters <= limit)
     return out
 
 
+def test_a_text_in_two_languages_is_kept(spark):
+    model = langid.train(docs(spark, corpus()))
+    en, de = (next(t for lang, t in corpus(1, 300, seed=9) if lang == x) for x in ("en", "de"))
+    (r,) = langid.identify(docs(spark, [(None, en + " " + de)]), model).collect()
+    assert r["keep"]
+
+
 def test_every_answer_equals_a_plain_parse(spark):
     model = langid.train(docs(spark, corpus()))
     r = random.Random(4)
