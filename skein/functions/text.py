@@ -137,6 +137,15 @@ def method_pipeline(t: Column) -> Column:
     return F.array(*out)
 
 
+def blueprint(pipeline: Column, title: Column, detail: bool = False) -> Column:
+    """A text of numbered steps from (stage, label and, if there is one, detail) in order, between a heading and a note."""
+    more = lambda s: F.coalesce(F.concat(F.lit(" — "), s["detail"]), F.lit("")) if detail else F.lit("")
+    line = lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": ["), s["stage"], F.lit("] "), s["label"], more(s))
+    lines = F.transform(pipeline, line)
+    heading, note = F.concat(F.lit("Blueprint for "), F.coalesce(title, F.lit(""))), F.lit("Notes: Generated from method description; align reward/metrics with paper.")
+    return F.array_join(F.concat(F.array(heading), lines, F.array(note)), "\n")
+
+
 def first_sentence(t: Column, limit: int = 220) -> Column:
     return clip(F.element_at(F.concat(sentences(t), F.array(F.lit(""))), 1), limit)
 

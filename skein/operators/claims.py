@@ -17,16 +17,32 @@ def terms(docs: DataFrame, id_col: str, text_col: str, ngrams: int = 2) -> DataF
     return words.select(id_col, F.explode(F.concat("w", pairs)).alias("term"))
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int = 8_000, ngrams: int = 2) -> DataFrame:
-    """id, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), rows of norm 1, over the most frequent terms."""
+def tfidf_model(docs: DataFrame, id_col: str, text_col: str, max_features: int | None = 8_000, ngrams: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(id, term, weight) and the model (term, idf): tf * (ln((1 + n) / (1 + df)) + 1), rows of norm 1.
+
+    Only the `max_features` most frequent terms count; None keeps all of them.
+    """
     tf = terms(docs, id_col, text_col, ngrams).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    kept = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
+    kept = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    if max_features is not None:
+        kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
     n = docs.agg(F.count("*").alias("docs"))
-    w = tf.join(kept, "term").crossJoin(F.broadcast(n)).select(id_col, "term", (F.col("tf") * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("w"))
+    model = kept.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return weighted(tf, model, id_col), model
+
+
+def weighted(tf: DataFrame, model: DataFrame, id_col: str) -> DataFrame:
+    """id, term, weight of term counts (id, term, tf) under a model, rows of norm 1."""
+    w = tf.join(model, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     size = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return w.join(size, id_col).select(id_col, "term", (F.col("w") / F.col("size")).alias("weight"))
 
 
+def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int | None = 8_000, ngrams: int = 2) -> DataFrame:
+    """id, term, weight over the most frequent terms (see `tfidf_model`)."""
+    return tfidf_model(docs, id_col, text_col, max_features, ngrams)[0]
+
+
 def extract_claims(texts: DataFrame) -> DataFrame:
     """claim_id, paper_id, cluster_id, statement, strength, sign, year: one row for each claim of each text."""
     each = texts.select("paper_id", "cluster_id", "year", F.posexplode(T.claims_of(F.col("summary"))).alias("i", "c"))
@@ -147,9 +163,12 @@ def suggested_tests(assumptions: DataFrame) -> DataFrame:
     return assumptions.select("assumption", tests.alias("tests"))
 
 
-def stress_rollup(log: DataFrame, newest: int = 5_000, top: int = 8) -> DataFrame:
-    """log: seq, assumption, clusters (a JSON map). Weight of each assumption per cluster, the top of each."""
-    last = log.orderBy(F.desc("seq")).limit(newest)
+def stress_rollup(log: DataFrame, newest: int | None = 5_000, top: int = 8) -> DataFrame:
+    """log: seq, assumption, clusters (a JSON map). Weight of each assumption per cluster, the top of each.
+
+    The newest events count, as surveyed; None counts all.
+    """
+    last = log if newest is None else log.orderBy(F.desc("seq")).limit(newest)
     each = last.select("assumption", F.explode(F.map_entries(F.from_json("clusters", "map<string,int>"))).alias("e")).select("assumption", F.col("e.key").alias("cluster_id"), F.coalesce("e.value", F.lit(1)).alias("w"))
     n = each.groupBy("cluster_id", "assumption").agg(F.sum("w").alias("weight"))
     w = Window.partitionBy("cluster_id").orderBy(F.desc("weight"), "assumption")

@@ -6,22 +6,38 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vector as V
 from skein.operators import knn, novelty
 
 
-def hash_embedding(texts: DataFrame, dim: int = 256) -> DataFrame:
-    """paper_id, embedding: token counts in dim buckets of a stable hash, norm 1; no tokens give zeros."""
-    bucket = F.pmod(F.xxhash64("token"), F.lit(dim)).cast("int")
-    tokens = texts.select("paper_id", F.explode(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("token"))
-    counts = tokens.groupBy("paper_id", bucket.alias("b")).agg(F.count("*").cast("double").alias("n")).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("m"))
+def hashed_words(text) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def hash_bucket(token: Column, dim: int) -> Column:
+    """A bucket from the first 32 bits of the token's MD5, the same everywhere."""
+    return F.pmod(F.conv(F.substring(F.md5(F.encode(token, "UTF-8")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+
+
+def from_buckets(counts: DataFrame, key: str, dim: int) -> DataFrame:
+    """key, embedding of norm 1 from counts (key, b, n)."""
+    m = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("m"))
     # gaps between the filled buckets become runs of zeros, so the vector is built in one pass
     filled = F.aggregate("m", F.array().cast("array<double>"), lambda v, e: F.concat(v, F.array_repeat(F.lit(0.0), e["b"] - F.size(v)), F.array(e["n"])))
-    vector = V.let(F.coalesce(filled, F.array().cast("array<double>")), lambda v: F.concat(v, F.array_repeat(F.lit(0.0), F.lit(dim) - F.size(v))))
-    return texts.select("paper_id").distinct().join(counts, "paper_id", "left").select("paper_id", V.unit(vector).alias("embedding"))
+    vector = V.let(filled, lambda v: F.concat(v, F.array_repeat(F.lit(0.0), F.lit(dim) - F.size(v))))
+    return m.select(key, V.unit(vector).alias("embedding"))
+
+
+def hash_embedding(texts: DataFrame, dim: int = 256) -> DataFrame:
+    """paper_id, embedding: word counts in dim buckets of a stable hash, norm 1; no words give zeros."""
+    words = texts.select("paper_id", F.explode(hashed_words(F.col("text"))).alias("token"))
+    counts = words.groupBy("paper_id", hash_bucket(F.col("token"), dim).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    none = F.array_repeat(F.lit(0.0), dim)
+    return texts.select("paper_id").distinct().join(from_buckets(counts, "paper_id", dim), "paper_id", "left").select("paper_id", F.coalesce("embedding", none).alias("embedding"))
 
 
 def kmeans(papers: DataFrame, k: int, seed: int = 7, rounds: int = 25, init: str = "random") -> DataFrame:
@@ -215,14 +231,37 @@ def force_layout(centroids: DataFrame, rounds: int = 200) -> DataFrame:
     return centroids.sparkSession.createDataFrame([(r["cluster_id"], float(x), float(y)) for r, (x, y) in zip(rows, p)], f"cluster_id {kind}, x double, y double")
 
 
+def _around(clusters: DataFrame, radius, squeeze: float = 1.0) -> DataFrame:
+    """cluster_id, x, y at a radius from the middle; the angle is the cluster's place in the order of ids."""
+    w = Window.orderBy("cluster_id")  # one row a cluster
+    turn = 2 * np.pi * (F.row_number().over(w) - 1) / F.greatest(F.lit(1), F.count("*").over(Window.partitionBy()))
+    return clusters.withColumn("turn", turn).select("cluster_id", (0.5 + squeeze * radius * F.cos("turn")).alias("x"), (0.5 + squeeze * radius * F.sin("turn")).alias("y"))
+
+
 def lens_positions(clusters: DataFrame, profile: list[float]) -> DataFrame:
-    """Positions whose radius falls with the cosine to a profile; the angle is the cluster's place in the order."""
+    """Interest lens: the radius .25 to .85 falls with the cosine of the centroid to a profile; another dimension counts as cosine 0."""
     q = F.array(*[F.lit(float(x)) for x in profile])
-    similar = F.coalesce(V.cosine(F.col("centroid"), q), F.lit(0.0))
-    w = Window.orderBy("cluster_id")
-    turn = 2 * np.pi * (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy())
-    radius = 0.5 * (1 - (similar + 1) / 2)
-    return clusters.select("cluster_id", (0.5 + radius * F.cos(turn)).alias("x"), (0.5 + radius * F.sin(turn)).alias("y"))
+    similar = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(V.cosine(F.col("centroid"), q), F.lit(0.0))))
+    return _around(clusters, 0.25 + 0.6 * (1 - (similar + 1) / 2))
+
+
+def time_lens(papers: DataFrame) -> DataFrame:
+    """Time lens: the radius .25 to .8 falls with the mean year of a cluster's papers; without years it is the earliest."""
+    mean = papers.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.avg("year").alias("mean_year"))
+    span = mean.agg(F.min("mean_year").alias("lo"), F.max("mean_year").alias("hi"))
+    placed = mean.crossJoin(F.broadcast(span))
+    lo = F.coalesce("lo", F.lit(0.0))
+    radius = 0.25 + 0.55 * (1 - (F.coalesce("mean_year", lo) - lo) / F.greatest(F.lit(1.0), F.coalesce("hi", F.lit(0.0)) - lo))
+    return _around(placed, radius, 0.9)
+
+
+def text_lens(papers: DataFrame, text: str, fallback: DataFrame, dim: int = 256) -> DataFrame:
+    """Method and data lenses: force layout of the hashed words of all of a cluster's texts; fallback (cluster_id, text) where it has none."""
+    words = papers.where(F.col("cluster_id").isNotNull()).select("cluster_id", F.explode(hashed_words(F.col(text))).alias("token"))
+    have = words.select("cluster_id").distinct()
+    rest = fallback.join(have, "cluster_id", "left_anti").select("cluster_id", F.explode(hashed_words(F.col("text"))).alias("token"))
+    counts = words.unionByName(rest).groupBy("cluster_id", hash_bucket(F.col("token"), dim).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    return force_layout(from_buckets(counts, "cluster_id", dim).withColumnRenamed("embedding", "centroid"))
 
 
 def layout_grid(papers: DataFrame, distortion: DataFrame, bins: int = 10, top: int = 120) -> DataFrame:

@@ -50,13 +50,21 @@ def title_similarity(a, b):
 
 
 def duplicate_pairs(neighbours: DataFrame, papers: DataFrame, cosine: float = 0.965, title: float = 0.82, compat: bool = False) -> DataFrame:
-    """a < b, cosine, title_similarity: of neighbour pairs either way (compat: only from the lesser id's list)."""
+    """a < b, cosine, title_similarity, page_delta (null where a page count is unknown): of neighbour pairs either way (compat: only from the lesser id's list)."""
     near = neighbours.where(F.col("score") >= cosine)
     if compat:
         near = near.where("src < dst")
     pairs = near.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("score").alias("cosine"))
-    of = lambda n: papers.select(F.col("paper_id").alias(n), F.col("title").alias(f"t{n}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").withColumn("title_similarity", title_similarity(F.col("ta"), F.col("tb"))).where(F.col("title_similarity") >= title).select("a", "b", "cosine", "title_similarity")
+    pages = F.col("page_count") if "page_count" in papers.columns else F.lit(None).cast("int")
+    of = lambda n: papers.select(F.col("paper_id").alias(n), F.col("title").alias(f"t{n}"), pages.alias(f"p{n}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("title_similarity", title_similarity(F.col("ta"), F.col("tb")))
+    return both.where(F.col("title_similarity") >= title).select("a", "b", "cosine", "title_similarity", F.abs(F.col("pa") - F.col("pb")).alias("page_delta"))
+
+
+def top_duplicates(pairs: DataFrame, limit: int | None = 120) -> DataFrame:
+    """The most similar pairs first."""
+    ordered = pairs.orderBy(F.desc("cosine"), F.desc("title_similarity"), "a", "b")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vector as V
+from skein.operators import claims
 
 
 def read_scores(log: DataFrame) -> DataFrame:
@@ -33,11 +34,45 @@ def blind_spots(centroids: DataFrame, covered: DataFrame, profile: DataFrame, to
     return c.select("cluster_id", "coverage", s.alias("blindspot")).orderBy(F.desc("blindspot"), "cluster_id").limit(top)
 
 
-def question_gaps(log: DataFrame, limit: int = 80) -> DataFrame:
-    """log: event_type, q, ts. Questions asked and answered, unanswered first, then the most asked."""
-    q = F.lower(F.trim("q"))
-    n = log.where(F.length(F.trim(F.coalesce("q", F.lit("")))) > 0).groupBy(q.alias("question")).agg(F.count_if(F.col("event_type") == "qa_question").alias("asked"), F.count_if(F.col("event_type") == "qa_answer_ready").alias("answered"))
-    return n.orderBy(F.col("answered") > 0, F.desc("asked"), "question").limit(limit)
+def question_gaps(log: DataFrame, docs: DataFrame | None = None, limit: int | None = 80, top: int = 6) -> DataFrame:
+    """question, asked, answered, top_score, margin, breadth; unanswered first, then the most asked, then the weakest.
+
+    log: event_type, q and, where retrievals are logged, seq, top_scores, support_breadth; the last
+    retrieval of a question counts. Without one, docs (id, text, cluster_id) are searched by their
+    term weights: the `top` best cosines, and the entropy of their clusters as breadth. A document
+    that shares no term scores 0 and adds no cluster.
+    """
+    base = log.withColumn("question", F.trim("q")).where("question <> ''")
+    n = base.groupBy("question").agg(F.count_if(F.col("event_type") == "qa_question").alias("asked"), F.count_if(F.col("event_type") == "qa_answer_ready").alias("answered"))
+    none = F.lit(None).cast("double")
+    if "top_scores" in log.columns:
+        got = base.where("event_type = 'qa_retrieval'").groupBy("question").agg(F.max_by(F.struct("top_scores", "support_breadth"), "seq").alias("r"))
+        scores = F.slice(F.array_compact(F.coalesce("r.top_scores", F.array().cast("array<double>"))), 1, top)
+        logged = got.select("question", scores.alias("s"), F.coalesce("r.support_breadth", F.lit(0.0)).alias("breadth"))
+    else:
+        logged = n.select("question", F.array().cast("array<double>").alias("s"), none.alias("breadth")).where(F.lit(False))
+    if docs is not None:
+        rest = n.select("question").join(logged, "question", "left_anti")
+        logged = logged.unionByName(_searched(rest, docs, top))
+    at = lambda i: F.coalesce(F.try_element_at("s", F.lit(i)), F.lit(0.0))
+    each = n.join(logged, "question", "left").select("question", "asked", "answered", at(1).alias("top_score"), (at(1) - at(2)).alias("margin"), F.coalesce("breadth", F.lit(0.0)).alias("breadth"))
+    ordered = each.orderBy(F.col("answered") > 0, F.desc("asked"), "top_score", "question")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def _searched(questions: DataFrame, docs: DataFrame, top: int) -> DataFrame:
+    """question, s (best cosines), breadth from the term weights of docs."""
+    weights, model = claims.tfidf_model(docs, "id", "text")
+    q = claims.weighted(claims.terms(questions.withColumn("text", F.col("question")), "question", "text").groupBy("question", "term").agg(F.count("*").alias("tf")), model, "question")
+    hits = q.join(weights.select("id", "term", F.col("weight").alias("w")), "term").groupBy("question", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    w = Window.partitionBy("question").orderBy(F.desc("score"), "id")
+    best = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).join(docs.select("id", "cluster_id"), "id")
+    scores = best.groupBy("question").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+    share = best.where("cluster_id IS NOT NULL").groupBy("question", "cluster_id").agg(F.count("*").alias("n"))
+    p = F.col("n") / F.col("total")
+    total = share.groupBy("question").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
+    breadth = share.join(total, "question").where("total > 1").groupBy("question").agg((F.sum(-p * F.ln(p + 1e-12)) / F.ln(F.greatest(F.lit(2), F.first("k")))).alias("breadth"))
+    return questions.join(scores, "question", "left").join(breadth, "question", "left").select("question", F.coalesce("s", F.array().cast("array<double>")).alias("s"), F.coalesce("breadth", F.lit(0.0)).alias("breadth"))
 
 
 def simple_recommendations(loadings: DataFrame, novelty: DataFrame, degree: DataFrame, top: int = 10) -> DataFrame:
@@ -158,17 +193,34 @@ def keep_where(rows: DataFrame, years: tuple[int, int] | None = None, status: st
     return rows
 
 
+# name: keys of (expression, value where it is null, ascending)
+_YEAR, _TITLE, _ANY_CASE, _UPDATED = ("year", -10_000, False), ("title", "", True), ("lower(title)", "", True), ("updated_at", None, False)
+_PRIORITY = "coalesce(strategy_impact, 0) * coalesce(usability, 0) * coalesce(confidence, 0)"
 ORDERS = {
-    "newest": [("year", -10_000, False)], "oldest": [("year", 10_000, True)], "title": [("title", "", True)],
+    "newest": [_YEAR], "oldest": [("year", 10_000, True)], "title": [_TITLE],
     "novelty": [("novelty", 0.0, False)], "usability": [("usability", 0.0, False)], "impact": [("strategy_impact", 0.0, False)],
-    "confidence": [("confidence", 0.0, False)], "priority": [("priority", 0.0, False), ("year", -10_000, False)],
+    "confidence": [("confidence", 0.0, False)], "priority": [("priority", 0.0, False), _YEAR],
+    "lens_priority": [(_PRIORITY, 0.0, False), ("novelty", 0.0, False), _YEAR, _ANY_CASE],
+    **{f"lens_{n}": [(c, 0.0, False), _YEAR, _ANY_CASE] for n, c in {"impact": "strategy_impact", "usability": "usability", "novelty": "novelty", "confidence": "confidence"}.items()},
+    "lens_recency": [_YEAR, _ANY_CASE], "lens_title": [_YEAR, _ANY_CASE],  # the year comes first in both, as surveyed
+    "map_recommended": [("recommended_rank", 2**31 - 1, True), _YEAR, _TITLE], "map_recency": [_YEAR, _TITLE], "map_title": [_ANY_CASE],
+    "map_novelty_z": [("coalesce(z_novelty, highlight_novelty)", 0.0, False), _YEAR, _TITLE],
+    "map_consensus_z": [("coalesce(z_consensus, highlight_saturation)", 0.0, False), _YEAR, _TITLE],
+    **{f"map_{c}": [(c, 0.0, False), _YEAR, _TITLE] for c in ("influence_positive", "cluster_confidence", "recombination", "rigor", "openness")},
+    "map_trading_priority": [(_PRIORITY, 0.0, False), _YEAR, _TITLE],
+    **{f"map_trading_{n}": [(c, 0.0, False), _YEAR, _TITLE] for n, c in {"impact": "strategy_impact", "usability": "usability", "novelty": "novelty"}.items()},
+    "strategy_recent": [_UPDATED], "strategy_title": [_ANY_CASE], "strategy_outcomes": [("n_outcomes", 0, False), _UPDATED], "strategy_sharpe": [("latest_sharpe", float("-inf"), False), _UPDATED],
 }
 
 
+def order_keys(name: str, last: str = "paper_id") -> list[Column]:
+    """The sort keys of a named order with its defaults for nulls; ties go to the id."""
+    value = lambda c, d: F.expr(c) if d is None else F.coalesce(F.expr(c), F.lit(d))
+    return [value(c, d).asc() if up else value(c, d).desc_nulls_last() for c, d, up in ORDERS[name]] + [F.col(last).asc()]
+
+
 def order_by(rows: DataFrame, name: str, last: str = "paper_id") -> DataFrame:
-    """A named order with its null defaults; ties to the id."""
-    keys = [F.coalesce(c, F.lit(d)) for c, d, _ in ORDERS[name]]
-    return rows.orderBy(*[k.asc() if up else k.desc() for k, (_, _, up) in zip(keys, ORDERS[name])], last)
+    return rows.orderBy(*order_keys(name, last))
 
 
 def pareto(points: DataFrame) -> DataFrame:

@@ -103,6 +103,16 @@ def lifecycle(papers: DataFrame, burst: float = 2.0) -> DataFrame:
     return stats.join(phases(scored.select("cluster_id", "year", "n")), "cluster_id")
 
 
+def weighted_lifecycle(papers: DataFrame, centrality: DataFrame) -> DataFrame:
+    """Per cluster the latest year's count and burst score, of the counts and of the sums of centrality (1 if unknown)."""
+    weight = papers.join(centrality.select("paper_id", "centrality"), "paper_id", "left").where("year IS NOT NULL AND cluster_id IS NOT NULL").groupBy("cluster_id", "year").agg(F.sum(F.coalesce("centrality", F.lit(1.0))).alias("w"))
+    series = yearly_series(papers)
+    plain = burst_scores(series)
+    heavy = burst_scores(series.join(weight, ["cluster_id", "year"], "left").select("cluster_id", "year", F.coalesce("w", F.lit(0.0)).alias("n")))
+    last = lambda d, *names: d.groupBy("cluster_id").agg(*[F.max_by(c, "year").alias(n) for c, n in names])
+    return last(plain, ("year", "latest_year"), ("n", "latest_count"), ("z", "latest_z")).join(last(heavy, ("n", "latest_weight"), ("z", "latest_weighted_z")), "cluster_id").join(phases(series).select("cluster_id", "phase"), "cluster_id")
+
+
 def topic_evolution(papers: DataFrame) -> DataFrame:
     """Bursts (from 0 to 2 or more, or doubled) and decays (to half or less) on each cluster's own axis."""
     w = Window.partitionBy("cluster_id").orderBy("year")

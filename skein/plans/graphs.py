@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import graph, knn, novelty
+from skein.plans.recursive import BETWEENNESS, BETWEENNESS_BY_LENGTH, eigenvector_sql, hops_sql, lengths_sql, pagerank_sql, reached_sql, river_sql
 from skein.plans.registry import query, r6, rounded
 from skein.plans.topics import SQL_CENTROID
 from skein.plans.vectors import SQL_KNN
@@ -31,22 +32,15 @@ def topic_graph(spark, sf_dir):
     return rounded(_topic(spark, sf_dir), "weight")
 
 
-def _pagerank_sql(edges: str, nodes: str, rounds: int) -> str:
-    parts = [f"e AS (SELECT src, dst, sum(w / t) AS p FROM (SELECT src, dst, weight AS w, sum(weight) OVER (PARTITION BY src) AS t FROM {edges}) WHERE t > 0 GROUP BY ALL)", f"nd AS (SELECT DISTINCT node, (SELECT count(DISTINCT node) FROM {nodes}) AS n FROM {nodes})", "p0 AS MATERIALIZED (SELECT node, 1.0 / n AS r FROM nd)"]
-    for i in range(1, rounds + 1):
-        parts.append(f"p{i} AS MATERIALIZED (SELECT nd.node, 0.15 / n + 0.85 * coalesce(g, 0) AS r FROM nd LEFT JOIN (SELECT dst, sum(p * r) AS g FROM e JOIN p{i - 1} ON src = node GROUP BY dst) x ON x.dst = nd.node)")
-    return ", ".join(parts)
-
-
-@query(f"WITH {SQL_KNN}, ke AS (SELECT src, dst, greatest(score, 0) AS weight FROM kn), kd AS (SELECT paper_id AS node FROM papers), {_pagerank_sql('ke', 'kd', 60)} SELECT node, round(r, 8) + 0.0 AS rank FROM p60")
+@query(f"WITH {SQL_KNN}, ke AS (SELECT src, dst, greatest(score, 0) AS weight FROM kn), kd AS (SELECT paper_id AS node FROM papers), {pagerank_sql('ke', 'kd', 60)} SELECT node, round(r, 8) + 0.0 AS rank FROM p60")
 def pagerank(spark, sf_dir):
     e = _edges(spark, sf_dir).withColumn("weight", F.greatest("weight", F.lit(0.0)))
     return rounded(graph.pagerank(e, _nodes(spark, sf_dir)), "rank", digits=8)
 
 
-@query()
+@query(f"WITH {SQL_KNN}, ke AS (SELECT src, dst, greatest(score, 0) AS weight FROM kn), kd AS (SELECT paper_id AS node FROM papers), {eigenvector_sql('ke', 'kd')} SELECT node, {r6('v')} AS centrality FROM v80")
 def eigenvector_centrality(spark, sf_dir):
-    return graph.eigenvector(_edges(spark, sf_dir), _nodes(spark, sf_dir))
+    return rounded(graph.eigenvector(_edges(spark, sf_dir), _nodes(spark, sf_dir)), "centrality")
 
 
 @query(f"""WITH RECURSIVE {SQL_KNN}, {SQL_UND}, strong AS (SELECT src, dst FROM be WHERE weight >= 0.36), reach(node, other) AS (SELECT paper_id, paper_id FROM papers UNION SELECT reach.node, strong.dst FROM reach JOIN strong ON reach.other = strong.src)
@@ -70,19 +64,24 @@ def structural_holes(spark, sf_dir):
     return rounded(graph.structural_holes(_edges(spark, sf_dir)).withColumnRenamed("constraint", "constraint_sum"), "constraint_sum", "effective_size")
 
 
-@query()
+SQL_TOPIC_BOTH = f"{SQL_TOPIC}, tb AS (SELECT src, dst FROM tg UNION ALL SELECT dst, src FROM tg), {hops_sql('tb', 8)}, {BETWEENNESS}, bt AS (SELECT node, CASE WHEN n > 2 THEN b * 2.0 / ((n - 1) * (n - 2)) ELSE 0 END AS betweenness FROM between)"
+
+
+@query(f"WITH {SQL_TOPIC_BOTH} SELECT node, {r6('betweenness')} AS betweenness FROM bt")
 def betweenness(spark, sf_dir):
-    return graph.betweenness(_topic(spark, sf_dir))
+    return rounded(graph.betweenness(_topic(spark, sf_dir)), "betweenness")
 
 
-@query()
+@query(f"WITH {SQL_KNN}, ue AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(1 - score) AS weight FROM kn GROUP BY ALL), be AS (SELECT src, dst, weight FROM ue UNION ALL SELECT dst, src, weight FROM ue), {lengths_sql('be', 10)}, {BETWEENNESS_BY_LENGTH} SELECT node, b + 0.0 AS betweenness FROM between")
 def betweenness_weighted(spark, sf_dir):
-    return graph.betweenness(_edges(spark, sf_dir).withColumn("weight", 1 - F.col("weight")), weighted=True)
+    return rounded(graph.betweenness(_edges(spark, sf_dir).withColumn("weight", 1 - F.col("weight")), weighted=True), "betweenness")
 
 
-@query()
+@query(f"""WITH {SQL_TOPIC_BOTH}, dg AS (SELECT src AS node, count(*) AS degree FROM tb GROUP BY ALL), tr AS (SELECT x.src AS node, count(*) AS t FROM tb x JOIN tb y ON x.dst = y.src JOIN tb z ON z.src = x.src AND z.dst = y.dst GROUP BY ALL),
+lc AS (SELECT node, degree, CASE WHEN degree >= 2 THEN coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM dg LEFT JOIN tr USING (node))
+SELECT node, degree, {r6('betweenness')} AS betweenness, {r6('clustering')} AS clustering, {r6('betweenness * (1 - clustering)')} AS bridging FROM bt JOIN lc USING (node)""")
 def bridging_clusters(spark, sf_dir):
-    return graph.bridging(_topic(spark, sf_dir))
+    return rounded(graph.bridging(_topic(spark, sf_dir)), "betweenness", "clustering", "bridging")
 
 
 @query(f"""WITH {SQL_KNN}, c AS (SELECT src, cluster_id, count(*) AS n FROM kn JOIN papers ON paper_id = dst GROUP BY ALL), s AS (SELECT src, cluster_id, n / sum(n) OVER (PARTITION BY src) AS p FROM c)
@@ -103,14 +102,15 @@ def reachable_papers(spark, sf_dir):
     return graph.reachable(_edges(spark, sf_dir), _nodes(spark, sf_dir).where("node = 0"), 4).select("node", "hops")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_KNN}, {reached_sql('kn', '0', 6)}, way AS (SELECT node, hops, via FROM (SELECT * FROM found WHERE node IN (7, 17, 27) ORDER BY hops, node LIMIT 1) UNION ALL SELECT f.node, f.hops, f.via FROM way JOIN found f ON f.node = way.via)
+SELECT hops AS step, node FROM way""")
 def influence_path(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     found = graph.path(_edges(spark, sf_dir), n.where("node = 0"), n.where("node IN (7, 17, 27)"))
     return spark.createDataFrame([(i, x) for i, x in enumerate(found)], "step int, node long")
 
 
-@query()
+@query(f"WITH {SQL_KNN}, ke AS (SELECT src, dst, score AS weight FROM kn), {river_sql('ke', '0', 5)} SELECT step, node FROM river")
 def idea_river(spark, sf_dir):
     return spark.createDataFrame([(i, x) for i, x in enumerate(graph.idea_river(_edges(spark, sf_dir), 0))], "step int, node long")
 
@@ -133,7 +133,7 @@ def co_citation(spark, sf_dir):
     return graph.co_citation(_cites(spark, sf_dir))
 
 
-@query(f"""WITH {SQL_KNN}, ke AS (SELECT src, dst, greatest(score, 0) AS weight FROM kn), kd AS (SELECT paper_id AS node FROM papers), {_pagerank_sql('ke', 'kd', 60)}
+@query(f"""WITH {SQL_KNN}, ke AS (SELECT src, dst, greatest(score, 0) AS weight FROM kn), kd AS (SELECT paper_id AS node FROM papers), {pagerank_sql('ke', 'kd', 60)}
 SELECT p60.node, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, round(r, 8) + 0.0 AS rank FROM p60 LEFT JOIN (SELECT dst, count(*) AS n FROM ke GROUP BY ALL) i ON i.dst = p60.node LEFT JOIN (SELECT src, count(*) AS n FROM ke GROUP BY ALL) o ON o.src = p60.node""")
 def citation_metrics(spark, sf_dir):
     e = _edges(spark, sf_dir).withColumn("weight", F.greatest("weight", F.lit(0.0)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import vector as V
 from skein.operators import graph, knn, novelty, recommend
+from skein.plans.recursive import marginal_gain_sql
 from skein.plans.registry import query, r6, rounded
 from skein.plans.topics import SQL_CENTROID
 from skein.plans.vectors import SQL_KNN
@@ -51,7 +52,7 @@ SELECT question, asked, answered FROM q ORDER BY answered > 0, asked DESC, quest
 def question_gaps(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "signup", "qa_question").when(F.col("event_type") == "view", "qa_answer_ready")
-    return recommend.question_gaps(e.select(kind.alias("event_type"), F.get_json_object("props", "$.k").alias("q")))
+    return recommend.question_gaps(e.select(kind.alias("event_type"), F.get_json_object("props", "$.k").alias("q"))).select("question", "asked", "answered")
 
 
 @query(f"""WITH {SQL_KNN}, {SQL_CENTROID}, dg AS (SELECT src AS paper_id, round(sum(score), 6) AS degree FROM kn GROUP BY ALL),
@@ -64,10 +65,13 @@ def simple_recommendations(spark, sf_dir):
     return rounded(recommend.simple_recommendations(load, n, graph.weighted_degree(knn.knn(p))), "score")
 
 
-@query()
+@query(f"""WITH {SQL_COVER}, {SQL_CENTROID}, sim AS MATERIALIZED (SELECT paper_id, cu.cluster_id AS i, greatest(0, list_cosine_similarity(embedding, u)) AS s, 1 - coverage AS w FROM papers, cu JOIN cv ON cv.cluster_id = cu.cluster_id),
+pr AS (SELECT papers.paper_id, coalesce(read_score, 0) AS r FROM papers LEFT JOIN rd USING (paper_id)), tw AS (SELECT paper_id, sum(s * w) AS total FROM sim GROUP BY ALL),
+pool AS MATERIALIZED (SELECT paper_id, row_number() OVER (ORDER BY total DESC, paper_id) AS place FROM tw JOIN pr USING (paper_id) WHERE r < 0.15 QUALIFY place <= 1200),
+b0 AS MATERIALIZED (SELECT cu.cluster_id AS i, coalesce(max(s) FILTER (r >= 0.5), 0) AS best FROM cu JOIN sim ON sim.i = cu.cluster_id JOIN pr USING (paper_id) GROUP BY ALL), {marginal_gain_sql(8)} SELECT * FROM gains""")
 def marginal_gain(spark, sf_dir):
     p, s = papers(spark, sf_dir), _scores(spark, sf_dir)
-    return recommend.marginal_gain(novelty.centroid_unit(p), recommend.coverage(p, s), p, s)
+    return rounded(recommend.marginal_gain(novelty.centroid_unit(p), recommend.coverage(p, s), p, s), "gain")
 
 
 @query(f"""WITH {SQL_KNN}, st AS (SELECT src, list(dst) AS s FROM kn WHERE rank <= 6 GROUP BY ALL)
@@ -116,11 +120,15 @@ def profile_blind_spots(spark, sf_dir):
     return rounded(recommend.profile_blind_spots(papers(spark, sf_dir), _read(spark, sf_dir)), "score")
 
 
-@query()
+@query(f"""WITH {SQL_PAPERS}, rp AS (SELECT paper_id FROM papers WHERE paper_id % 10 = 0), pf AS (SELECT list(m ORDER BY i) AS p FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM papers WHERE paper_id IN (SELECT paper_id FROM rp)) GROUP BY i)),
+tg AS (SELECT embedding AS t FROM papers WHERE paper_id = 5), rest AS MATERIALIZED (SELECT paper_id, list_cosine_similarity(embedding, p) AS cp, list_cosine_similarity(embedding, t) AS ct FROM papers, pf, tg WHERE paper_id NOT IN (SELECT paper_id FROM rp)),
+fo AS MATERIALIZED (SELECT 'foundation' AS stage, paper_id, cp AS score FROM rest ORDER BY cp DESC, paper_id LIMIT 3), ad AS MATERIALIZED (SELECT 'advanced' AS stage, paper_id, ct - cp AS score FROM rest WHERE paper_id NOT IN (SELECT paper_id FROM fo) ORDER BY ct - cp DESC, paper_id LIMIT 2),
+br AS (SELECT 'bridge' AS stage, paper_id, least(cp, ct) AS score FROM rest WHERE paper_id NOT IN (SELECT paper_id FROM fo) AND paper_id NOT IN (SELECT paper_id FROM ad) ORDER BY least(cp, ct) DESC, paper_id LIMIT 5)
+SELECT stage, paper_id, {r6('score')} AS score FROM (SELECT * FROM fo UNION ALL SELECT * FROM ad UNION ALL SELECT * FROM br)""")
 def curriculum(spark, sf_dir):
     p = papers(spark, sf_dir)
     target = p.where("paper_id = 5").first()["embedding"]
-    return recommend.curriculum(p, _read(spark, sf_dir), target)
+    return rounded(recommend.curriculum(p, _read(spark, sf_dir), target), "score")
 
 
 def _lens(spark, sf_dir):

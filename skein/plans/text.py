@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skein.functions import python as P
 from skein.functions import text as T
 from skein.operators import citations, claims, entities, hygiene, knn, recommend
+from skein.plans.recursive import pagerank_sql
 from skein.plans.registry import query, r6, rounded
 from skein.plans.vectors import SQL_KNN
 from skein.sources.adapters import SQL_TEXTS, papers, read, texts
@@ -56,7 +57,15 @@ def cluster_keywords(spark, sf_dir):
     return recommend.cluster_keywords(texts(spark, sf_dir), "topic", T.tokens(F.col("summary"))).select("topic", "keywords")
 
 
-@query()
+def _chunk_end(s: str) -> str:
+    """Where a chunk that starts at s ends: after the last white space of its final 120 characters, if there is one and text is left."""
+    tail = f"length(regexp_extract(substr(text, {s} + 1681, 120), '(?s)^.*\\s'))"
+    return f"CASE WHEN {s} + 1800 >= n THEN n WHEN {tail} > 0 THEN {s} + 1679 + {tail} ELSE {s} + 1800 END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS paper_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+c AS (SELECT paper_id, text, n, 0 AS ord, CAST(0 AS BIGINT) AS s, {_chunk_end('0')} AS e FROM d UNION ALL SELECT paper_id, text, n, ord + 1, greatest(s + 1, e - 200), {_chunk_end('greatest(s + 1, e - 200)')} FROM c WHERE e < n AND ord < 19)
+SELECT paper_id, ord, substr(text, s + 1, e - s) AS text FROM c""")
 def sliding_chunks(spark, sf_dir):
     return texts(spark, sf_dir).select("paper_id", F.posexplode(P.chunks()("summary")).alias("ord", "text"))
 
@@ -139,15 +148,25 @@ def claim_controversy(spark, sf_dir):
     return rounded(claims.controversy(_bench_claims(spark, sf_dir)), "controversy_rate", "consensus", "diversity")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_PAIRS}, mp AS MATERIALIZED (SELECT a.claim_id AS a, b.claim_id AS b, c FROM cp JOIN bc a ON a.id = cp.a JOIN bc b ON b.id = cp.b AND a.cluster_id = b.cluster_id WHERE c >= 0.22), mb AS (SELECT a, b, c FROM mp UNION ALL SELECT b, a, c FROM mp),
+reach(node, other) AS (SELECT claim_id, claim_id FROM bc UNION SELECT reach.node, mb.b FROM reach JOIN mb ON reach.other = mb.a), co AS (SELECT node AS claim_id, min(other) AS component FROM reach GROUP BY node),
+rs AS (SELECT a AS claim_id, sum(c) AS row_sum FROM mb GROUP BY a), al AS (SELECT bc.*, component, coalesce(round(row_sum, 9), 0) AS row_sum FROM bc JOIN co USING (claim_id) LEFT JOIN rs USING (claim_id)), tp AS (SELECT cluster_id, count(DISTINCT paper_id) AS cluster_papers FROM bc GROUP BY ALL),
+g AS (SELECT cluster_id, component, count(*) AS size, count(DISTINCT paper_id) AS papers, count(*) FILTER (sign > 0) AS positive, arg_max(claim_id, (row_sum, claim_id)) AS representative FROM al GROUP BY ALL)
+SELECT cluster_id, component, size, papers, positive, representative, {r6('greatest(positive, size - positive) / size * papers / greatest(cluster_papers, 1) * CASE WHEN positive > 0 AND positive < size THEN 0.5 ELSE 1 END')} AS maturity FROM g JOIN tp USING (cluster_id)""")
 def claim_maturity(spark, sf_dir):
-    return claims.maturity(_bench_claims(spark, sf_dir))
+    return rounded(claims.maturity(_bench_claims(spark, sf_dir)), "maturity")
 
 
-@query()
+SQL_INFLUENCE = f"""{SQL_PAIRS}, ip AS (SELECT a.claim_id AS ca, b.claim_id AS cb, a.year AS ya, b.year AS yb, a.sign AS sa, b.sign AS sb, c FROM cp JOIN bc a ON a.id = cp.a JOIN bc b ON b.id = cp.b WHERE c >= 0.18 AND a.year <> b.year),
+ie AS MATERIALIZED (SELECT CASE WHEN yb > ya THEN ca ELSE cb END AS src, CASE WHEN yb > ya THEN cb ELSE ca END AS dst, c * exp(-0.15 * abs(yb - ya)) AS weight, CASE WHEN yb > ya THEN sb ELSE sa END AS sign FROM ip), pe AS (SELECT * FROM ie WHERE sign = 1), ne AS (SELECT * FROM ie WHERE sign = -1), cn AS (SELECT claim_id AS node FROM bc)"""
+
+
+@query(f"""WITH {SQL_INFLUENCE}, {pagerank_sql('ie', 'cn', 60, 'x')}, {pagerank_sql('pe', 'cn', 60, 'y')}, {pagerank_sql('ne', 'cn', 60, 'z')}
+SELECT x.node, round(x.r, 8) + 0.0 AS influence, round(y.r, 8) + 0.0 AS positive, round(z.r, 8) + 0.0 AS negative, {r6('coalesce(i.s, 0)')} AS in_strength, {r6('coalesce(o.s, 0)')} AS out_strength FROM xp60 x JOIN yp60 y USING (node) JOIN zp60 z USING (node)
+LEFT JOIN (SELECT dst AS node, sum(weight) AS s FROM ie GROUP BY ALL) i USING (node) LEFT JOIN (SELECT src AS node, sum(weight) AS s FROM ie GROUP BY ALL) o USING (node)""")
 def claim_influence(spark, sf_dir):
     c = _bench_claims(spark, sf_dir)
-    return claims.influence(claims.influence_edges(c), c.select(F.col("claim_id").alias("node")))
+    return rounded(rounded(claims.influence(claims.influence_edges(c), c.select(F.col("claim_id").alias("node"))), "influence", "positive", "negative", digits=8), "in_strength", "out_strength")
 
 
 @query(f"""WITH {SQL_TEXTS}, s AS (SELECT topic, unnest(list_filter({sql_sentences('summary')}, lambda x: {sql_any('x', T.GAP_CUES)})[1:3]) AS sentence FROM texts), n AS (SELECT topic, trim(regexp_replace(sentence, '\\s+', ' ', 'g')) AS sentence, count(*) AS n FROM s GROUP BY ALL)
@@ -203,9 +222,14 @@ def citation_matches(spark, sf_dir):
     return rounded(citations.match_references(refs, p, least=0.3), "weight")
 
 
-@query()
+@query("""WITH e AS (SELECT doc_id AS paper_id, 1 AS ord, '[1] A. B. "Study ' || doc_id || ' of long things." ' || (2000 + doc_id % 20) || '. https://x.org/' || doc_id AS entry, 'Study ' || doc_id || ' of long things.' AS title_guess FROM documents
+UNION ALL SELECT doc_id, 2, '[2] C. D. Another work number ' || doc_id || '. Journal of things. ' || (1950 + doc_id % 50) || '. doi:10.1234/ab.' || doc_id || ' arXiv: 1706.0' || (1000 + doc_id % 9000), 'Another work number ' || doc_id FROM documents)
+SELECT paper_id, CAST(ord AS BIGINT) AS ord, entry, nullif(regexp_extract(entry, '(?i)10[.][0-9]{4,9}/[A-Z0-9()/:;._-]+'), '') AS doi, nullif(regexp_extract(entry, 'https?://[^ )}]+'), '') AS url, nullif(regexp_extract(entry, '(?i)arxiv:\\s*[0-9]{4}[.][0-9]{4,5}'), '') AS arxiv, CAST(nullif(regexp_extract(entry, '\\b(?:19|20)[0-9]{2}\\b'), '') AS INTEGER) AS year_guess, title_guess FROM e""")
 def reference_fields(spark, sf_dir):
-    body = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.concat_ws("\n", "text", F.lit("References"), F.lit('[1] A. B. "A title that is long enough." 2017. https://x.org/a.')).alias("text"))
+    i = F.col("doc_id").cast("string")
+    first = F.concat(F.lit('[1] A. B. "Study '), i, F.lit(' of long things." '), (F.lit(2000) + F.col("doc_id") % 20).cast("string"), F.lit(".\nhttps://x.org/"), i)
+    second = F.concat(F.lit("[2] C. D. Another work number "), i, F.lit(". Journal of things. "), (F.lit(1950) + F.col("doc_id") % 50).cast("string"), F.lit(". doi:10.1234/ab."), i, F.lit("  arXiv: 1706.0"), (F.lit(1000) + F.col("doc_id") % 9000).cast("string"))
+    body = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.concat_ws("\n", "text", F.lit("References"), first, second).alias("text"))
     return citations.reference_fields(citations.reference_entries(body))
 
 
@@ -267,7 +291,19 @@ def acronyms(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.explode(entities.acronyms(F.col("text"))).alias("e")).select("paper_id", "e.name")
 
 
-@query()
+SQL_ENTITIES = f"""{SQL_TEXTS}, caps AS ({SQL_CAPS}), mt AS (SELECT paper_id, 'metric' AS kind, CASE WHEN m IN ('auc', 'auroc', 'bleu') THEN upper(m) ELSE m END AS name, (length(lower(summary)) - length(replace(lower(summary), m, ''))) // length(m) AS n FROM texts, (SELECT unnest({list(T.METRICS)}) AS m)),
+nm AS (SELECT paper_id, name, summary, strpos(summary, name) AS pos, (length(summary) - length(replace(summary, name, ''))) // length(name) AS n FROM caps JOIN texts USING (paper_id)),
+en AS (SELECT * FROM mt WHERE n > 0 UNION ALL SELECT paper_id, CASE WHEN {sql_any('substr(summary, greatest(pos - 60, 1), length(name) + 120)', entities.DATASET_CUES)} THEN 'dataset' ELSE 'method' END, name, n FROM nm),
+found AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY paper_id, kind ORDER BY n DESC, name) <= 6)"""
+
+
+@query(f"WITH {SQL_ENTITIES} SELECT * FROM found")
+def named_entities(spark, sf_dir):
+    return entities.entities(texts(spark, sf_dir).select("paper_id", F.col("summary").alias("text")))
+
+
+@query(f"""WITH {SQL_ENTITIES}, best AS (SELECT kind, name FROM found GROUP BY kind, name QUALIFY row_number() OVER (PARTITION BY kind ORDER BY count(DISTINCT paper_id) DESC, name) <= 40)
+SELECT kind, name, year, count(DISTINCT paper_id) AS n FROM found JOIN best USING (kind, name) JOIN texts USING (paper_id) GROUP BY ALL""")
 def entity_adoption(spark, sf_dir):
     d = texts(spark, sf_dir)
     return entities.adoption(entities.entities(d.select("paper_id", F.col("summary").alias("text"))), d)
@@ -285,7 +321,8 @@ def missing_points(spark, sf_dir):
     return c.select("conv_id", "turn", entities.missing_points(F.col("text"), F.array(F.lit("the"), F.lit("ing")), F.array(F.lit("que"))).alias("missing")).withColumn("missing", F.array_join("missing", ","))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id AS id, turn, role = 'user' AS q, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM conversations), o AS (SELECT *, sum(q::INT) OVER (PARTITION BY id ORDER BY turn) AS ord FROM t)
+SELECT id, CAST(ord AS BIGINT) AS ord, arg_min(body, turn) FILTER (q) AS question, arg_min(body, turn) FILTER (NOT q) AS answer FROM o WHERE ord > 0 GROUP BY ALL HAVING count(*) FILTER (q) > 0 AND count(*) FILTER (NOT q) > 0""")
 def flashcards(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.concat(F.when(s["role"] == "user", "Q: ").otherwise("A: "), T.collapse(s["text"]))), "\n").alias("text"))
     return entities.flashcards(c)

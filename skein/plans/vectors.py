@@ -54,9 +54,17 @@ def fitted_dimensions(spark, sf_dir):
     return papers(spark, sf_dir).select("paper_id", F.round(total(65), 6).alias("padded"), F.round(total(10), 6).alias("cut"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS t FROM documents), b AS (SELECT doc_id AS paper_id, CAST((instr('0123456789abcdef', md5(t)[7]) - 1) * 16 + instr('0123456789abcdef', md5(t)[8]) - 1 AS INTEGER) AS i, count(*) AS n FROM w GROUP BY ALL)
+SELECT paper_id, i, {r6('n / sqrt(sum(n * n) OVER (PARTITION BY paper_id))')} AS x FROM b""")
 def hash_embedding(spark, sf_dir):
-    return cluster.hash_embedding(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("paper_id"), "text"))
+    e = cluster.hash_embedding(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("paper_id"), "text"))
+    return rounded(e.select("paper_id", F.posexplode("embedding").alias("i", "x")).where("x <> 0"), "x")
+
+
+def _products(df, column, out):
+    """i <= j and the mean product of elements i and j, over all rows."""
+    each = df.select(F.posexplode(F.col(column)).alias("i", "x"), F.col(column).alias("v"))
+    return each.select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j").groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias(out))
 
 
 @query()
@@ -64,11 +72,23 @@ def whitened(spark, sf_dir):
     return knn.whiten(papers(spark, sf_dir))
 
 
+@query("WITH d AS (SELECT unnest(range(0, len(any_value(embedding)))) AS i FROM embeddings) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS covariance FROM d a JOIN d b ON a.i <= b.i")
+def whitened_covariance(spark, sf_dir):
+    """Whitened vectors have the identity as covariance, whichever way their axes point."""
+    return rounded(_products(knn.whiten(papers(spark, sf_dir)), "embedding", "covariance"), "covariance").withColumn("covariance", F.col("covariance") + 0.0)
+
+
 @query()
 def factor_loadings(spark, sf_dir):
     return knn.factor_loadings(papers(spark, sf_dir))
 
 
+@query("SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, a.i = b.i AS related FROM range(0, 8) a(i) JOIN range(0, 8) b(i) ON a.i <= b.i")
+def factor_covariance(spark, sf_dir):
+    """Loadings on different factors are uncorrelated."""
+    return _products(knn.factor_loadings(papers(spark, sf_dir)), "loadings", "c").select("i", "j", (F.abs("c") > 1e-9).alias("related"))
+
+
 @query()
 def kmeans_clusters(spark, sf_dir):
     return cluster.kmeans(papers(spark, sf_dir), 10)
@@ -79,6 +99,13 @@ def two_level_galaxy(spark, sf_dir):
     return cluster.galaxy(papers(spark, sf_dir))
 
 
+@query("SELECT vec_id AS paper_id, 1 AS rows, true AS placed FROM embeddings")
+def galaxy_assignment(spark, sf_dir):
+    """Each paper is in one cluster of each level, numbered within bounds."""
+    g = cluster.galaxy(papers(spark, sf_dir))
+    return g.groupBy("paper_id").agg(F.count("*").cast("int").alias("rows"), F.bool_and(F.col("mega_id").between(0, 7) & F.col("sub_id").between(0, 19)).alias("placed"))
+
+
 @query()
 def cluster_stability(spark, sf_dir):
     return cluster.jitter_stability(papers(spark, sf_dir), trials=4)

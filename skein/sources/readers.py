@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import vector as V
+from skein.sources.sinks import STRATEGY
 
 CLAIM = "struct<id:string,statement:string,assumptions:array<string>,evaluation:struct<dataset:string,period:string,metrics:array<string>>,year:int,strength:double>"
 PAPER = f"""paper_id string, id string, title string, originalFilename string, filePath string, version int, year int, firstReadAt string, ingestedAt string,
@@ -90,7 +91,8 @@ def attach_clusters(papers: DataFrame, members: DataFrame, level: int = 0) -> Da
 
 
 def newest_per(rows: DataFrame, key: str, at: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(at))
+    """One row for each key, the newest; ties to the last of all columns."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), F.desc(F.to_json(F.struct(*rows.columns))))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -105,3 +107,27 @@ def read_vectors(spark: SparkSession, path: str, id_col: str = "paper_id") -> Da
     if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))):
         raise TypeError(f"embedding must be an array of float or double, not {kind.simpleString()}")
     return df.select(F.col(id_col).alias("paper_id"), "embedding")
+
+
+def read_strategies(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document per strategy, of each id the newest file; the last updated first."""
+    raw = spark.read.schema(STRATEGY).json(path, multiLine=True).where("strategy_id IS NOT NULL").select("*", F.col("_metadata.file_modification_time").alias("modified"))
+    return newest_per(raw, "strategy_id", "modified").drop("modified").orderBy(F.desc_nulls_last("updated_at"), "strategy_id")
+
+
+CLUSTER = "id:int,name:string,centroid:array<float>,memberPaperIDs:array<string>"
+
+
+def read_clusters(spark: SparkSession, path: str, version: str, wanted: int = 10) -> DataFrame:
+    """cluster_id, name, centroid (unit), members of the snapshot of a version whose k is closest to the wanted one.
+
+    A document is {version, k, clusters} or, in the older form, a bare array of clusters: its
+    version is "legacy" and its k their number. Of equally close ones the lesser k, then the path.
+    """
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    now = F.from_json("value", f"struct<version:string,k:int,clusters:array<struct<{CLUSTER}>>>")
+    old = F.from_json("value", f"array<struct<{CLUSTER}>>")
+    bare = F.ltrim("value").startswith("[")
+    each = text.select("file", F.when(bare, F.struct(F.lit("legacy").alias("version"), F.size(old).alias("k"), old.alias("clusters"))).otherwise(now).alias("s")).select("file", "s.*")
+    one = each.where((F.col("version") == version) & F.col("k").isNotNull()).orderBy(F.abs(F.col("k") - wanted), "k", "file").limit(1)
+    return one.select(F.explode("clusters").alias("c")).select(F.col("c.id").alias("cluster_id"), "c.name", V.unit(F.col("c.centroid")).alias("centroid"), F.col("c.memberPaperIDs").alias("members"))

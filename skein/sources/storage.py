@@ -4,20 +4,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df as a table written in the folder of spark.checkpoint.dir; a lost executor loses nothing.
+def scratch(spark: SparkSession) -> str:
+    """A new folder path inside the folder of spark.checkpoint.dir, which all executors share.
 
-    Where the session names no folder (tests), a temporary one is set.
+    Where the session names none, a local session (tests) gets a temporary one; on a cluster,
+    whose machines don't share one, it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skein-")
         sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df as a table written in the shared folder and read again; a lost executor loses nothing."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
