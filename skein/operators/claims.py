@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import graph
+from skein.sources.storage import materialise
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str, ngrams: int = 2) -> DataFrame:
@@ -50,15 +51,24 @@ def extract_claims(texts: DataFrame) -> DataFrame:
 
 
 def similar_claims(claims: DataFrame, least: float, within: str | None = None, max_features: int = 8_000) -> DataFrame:
-    """a < b, cosine: products summed over shared terms, a sparse self-join; within: only inside this column's values."""
-    w = tfidf(claims, "claim_id", "statement", max_features)
+    """a < b, cosine: products summed over shared terms; within: only inside this column's values.
+
+    Candidates come from a self-join on part of the terms: a claim's most frequent terms are
+    left out as long as their weights' norm is below `least`. Two claims whose first shared
+    term, in order of frequency, is among those of either can't reach it, so no pair is lost
+    and the terms in most claims aren't paired with themselves.
+    """
+    w = materialise(tfidf(claims, "claim_id", "statement", max_features))
     keys = ["term"]
+    frequent = Window.partitionBy("claim_id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = w.join(w.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("tail", F.sum(F.col("weight") * F.col("weight")).over(frequent)).where(F.col("tail") >= least * least - 1e-9)
     if within:
-        w = w.join(claims.select("claim_id", within), "claim_id").where(F.col(within).isNotNull())
+        rare = rare.join(claims.select("claim_id", within), "claim_id").where(F.col(within).isNotNull())
         keys.append(within)
-    a = w.select(*keys, F.col("claim_id").alias("a"), F.col("weight").alias("wa"))
-    b = w.select(*keys, F.col("claim_id").alias("b"), F.col("weight").alias("wb"))
-    return a.join(b, keys).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+    side = lambda n: rare.select(*keys, F.col("claim_id").alias(n))
+    pairs = side("a").join(side("b"), keys).where("a < b").select("a", "b").distinct()
+    of = lambda n: w.select(F.col("claim_id").alias(n), "term", F.col("weight").alias(f"w{n}"))
+    return pairs.join(of("a"), "a").join(of("b"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def influence_edges(claims: DataFrame, least: float = 0.18, decay: float = 0.15) -> DataFrame:

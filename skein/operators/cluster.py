@@ -1,6 +1,8 @@
 """Clustering, its stability, layouts and how well a layout keeps neighbourhoods."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import vector as V
 from skein.operators import knn, novelty
+from skein.sources.storage import materialise
 
 
 def hashed_words(text) -> Column:
@@ -50,32 +53,25 @@ def kmeans(papers: DataFrame, k: int, seed: int = 7, rounds: int = 25, init: str
     return model.transform(v).select("paper_id", F.col("prediction").alias("cluster_id"))
 
 
-def local_kmeans(x: np.ndarray, k: int, seed: int = 7, rounds: int = 25) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    k = max(1, min(k, len(x)))
-    c = x[rng.permutation(len(x))[:k]].copy()
-    label = np.zeros(len(x), int)
-    for _ in range(rounds):
-        d = ((x[:, None] - c[None]) ** 2).sum(2) if len(x) * k * x.shape[1] < 5e7 else (c * c).sum(1) - 2 * x @ c.T
-        label = d.argmin(1)
-        for j in range(k):
-            inside = label == j
-            c[j] = x[inside].mean(0) if inside.any() else x[rng.integers(len(x))]
-    return label
-
-
 def galaxy(papers: DataFrame, mega: int | None = None, sub: int | None = None) -> DataFrame:
-    """paper_id, mega_id, sub_id: 5 to 8 clusters, each split into 10 to 20; the two levels have keys of their own."""
+    """paper_id, mega_id, sub_id: 5 to 8 clusters, each split into 10 to 20; the two levels have keys of their own.
+
+    Each split is a fit of its own over all papers of its cluster, run by all executors, so that
+    no worker holds a cluster.
+    """
     n = papers.count()
     mega = mega or max(1, min(8, max(5, round((n / 50) ** 0.5))))
-    top = kmeans(papers, min(mega, max(1, n)), init="k-means||").withColumnRenamed("cluster_id", "mega_id")
+    top = materialise(kmeans(papers, min(mega, max(1, n)), init="k-means||").withColumnRenamed("cluster_id", "mega_id").join(papers.select("paper_id", "embedding"), "paper_id"))
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("paper_id")
-        k = sub or max(1, min(20, max(10, len(pdf) // 10), len(pdf)))
-        return pdf[["paper_id", "mega_id"]].assign(sub_id=local_kmeans(np.array(pdf["embedding"].tolist(), float), k))
+    def split(r) -> DataFrame:
+        k = sub or max(1, min(20, max(10, r["count"] // 10), r["count"]))
+        return kmeans(top.where(F.col("mega_id") == r["mega_id"]), k, init="k-means||").select("paper_id", F.lit(r["mega_id"]).alias("mega_id"), F.col("cluster_id").alias("sub_id"))
 
-    return top.join(papers.select("paper_id", "embedding"), "paper_id").groupBy("mega_id").applyInPandas(split, "paper_id long, mega_id int, sub_id int")
+    megas = top.groupBy("mega_id").count().orderBy("mega_id").collect()  # at most 8 rows
+    if not megas:
+        return papers.sparkSession.createDataFrame([], "paper_id long, mega_id int, sub_id int")
+    with ThreadPoolExecutor(len(megas)) as pool:  # the fits are jobs side by side
+        return reduce(DataFrame.unionByName, pool.map(split, megas))
 
 
 def nearest_centroids(papers: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -165,15 +161,20 @@ def novelty_uncertainty(papers: DataFrame, trials: int = 5, sigma: float = 0.01,
     c = novelty.centroid_unit(papers)
     own = papers.where("cluster_id IS NOT NULL").select("paper_id", "cluster_id", V.as_double(F.col("embedding")).alias("embedding"))
     both = own.unionByName(jitter(own, trials, sigma, seed).drop("trial"))
-    return both.join(F.broadcast(c), "cluster_id").groupBy("paper_id").agg(F.stddev_pop(V.distance(F.col("embedding"), F.col("centroid"))).alias("uncertainty"))
+    return both.join(c, "cluster_id").groupBy("paper_id").agg(F.stddev_pop(V.distance(F.col("embedding"), F.col("centroid"))).alias("uncertainty"))
 
 
-def ranks(x: np.ndarray) -> np.ndarray:
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    order = np.argsort(d, axis=1, kind="stable")
-    out = np.empty_like(order)
-    out[np.arange(len(x))[:, None], order] = np.arange(1, len(x) + 1)
+def ranks(x: np.ndarray, block: int = 256) -> np.ndarray:
+    """out[i, j]: the place of j by distance from i, in blocks of rows; a row is the last of its own list."""
+    n = len(x)
+    size = (x * x).sum(1)
+    out = np.empty((n, n), np.int32)
+    for a in range(0, n, block):
+        d = size[a: a + block, None] - 2 * x[a: a + block] @ x.T + size
+        here = np.arange(len(d))
+        d[here, a + here] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")
+        np.put_along_axis(out[a: a + block], order, np.arange(1, n + 1, dtype=np.int32)[None], 1)
     return out
 
 
@@ -290,7 +291,7 @@ def factor_labels(weights: DataFrame, factors: int = 8, top: int = 4, rounds: in
     if not names:
         return spark.createDataFrame([], "factor int, rank int, term string")
     place = spark.createDataFrame(list(enumerate(names)), "i int, term string")
-    w = weights.join(F.broadcast(place), "term").select("paper_id", "i", "weight")
+    w = weights.join(place, "term").select("paper_id", "i", "weight")
     pairs = w.alias("a").join(w.alias("b"), "paper_id").groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("g")).collect()
     g = np.zeros((len(names), len(names)))
     for r in pairs:

@@ -79,8 +79,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return rank
 
 
-def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance: float = 1e-6, written: int = 4) -> DataFrame:
-    """node, centrality: power iteration over out-edges, norm 1 in each round."""
+def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance: float = 1e-6) -> DataFrame:
+    """node, centrality: power iteration over out-edges, norm 1 in each round, until it moves less than the tolerance."""
     edges = materialise(edges.select("src", "dst", F.greatest("weight", F.lit(0.0)).alias("weight")))
     nodes = materialise(nodes.select("node").distinct())
     n = nodes.count()
@@ -96,54 +96,102 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance:
                 break
         return _frame(nodes, ids, c, "centrality")
     v = materialise(nodes.withColumn("centrality", F.lit(1.0 / max(n, 1) ** 0.5)))
-    for _ in range(0, rounds, written):
-        start = v
-        for _ in range(written):  # scaling is left to the end of the block: the direction is the same
-            new = edges.join(v, edges["dst"] == v["node"]).groupBy("src").agg(F.sum(F.col("weight") * F.col("centrality")).alias("c"))
-            v = nodes.join(new, nodes["node"] == new["src"], "left").select("node", F.coalesce("c", F.lit(0.0)).alias("centrality"))
-        v = materialise(v)
-        size = v.agg(F.sqrt(F.sum(F.col("centrality") * F.col("centrality")))).first()[0] or 1.0
-        v = v.select("node", (F.col("centrality") / size).alias("centrality"))
-        moved = v.alias("a").join(start.alias("b"), "node").agg(F.max(F.abs(F.col("a.centrality") - F.col("b.centrality")))).first()[0]
+    for _ in range(rounds):
+        new = edges.join(v, edges["dst"] == v["node"]).groupBy("src").agg(F.sum(F.col("weight") * F.col("centrality")).alias("c"))
+        both = materialise(v.join(new, v["node"] == new["src"], "left").select("node", F.col("centrality").alias("old"), F.coalesce("c", F.lit(0.0)).alias("c")))
+        size = both.agg(F.sqrt(F.sum(F.col("c") * F.col("c")))).first()[0] or 1.0
+        moved = both.agg(F.max(F.abs(F.col("c") / size - F.col("old")))).first()[0]
+        v = both.select("node", (F.col("c") / size).alias("centrality"))
         if moved is None or moved < tolerance:
             break
     return v
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """u, v: each node of few edges with the least node it is linked to, roots left out."""
+    e = edges.toPandas()
+    ids, place = np.unique(np.concatenate([e["u"].to_numpy(), e["v"].to_numpy()]) if len(e) else np.zeros(0, np.int64), return_inverse=True)
+    a, b, label = place[: len(e)], place[len(e):], np.arange(len(ids))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"u": ids[moved], "v": ids[label[moved]]}), edges.schema)
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, component (its least node): least labels of neighbours, then labels of labels."""
-    both = materialise(both_ways(edges.withColumn("weight", F.lit(1.0))).where("src <> dst").select("src", "dst").distinct())
-    label = materialise(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("l")).select("node", F.least("node", "l").alias("label"), F.lit(True).alias("moved")))
-    while not label.where("moved").isEmpty():
-        near = both.join(label.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        far = label.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        label = materialise(step.join(far, "via").select("node", F.least("via", "far").alias("label"), (F.least("via", "far") < F.col("old")).alias("moved")))
-    out = label.select("node", F.col("label").alias("component"))
+    """node, component (its least node), by alternating large and small stars.
+
+    Each round hangs every node's greater neighbours on its least neighbour, then its lesser
+    neighbours on the least of them; edges never get more, and the rounds grow with the
+    logarithm of the number of nodes. It is done when a round changes no edge, which is
+    compared by the edges' count and sum of hashes. Up to LOCAL_EDGES edges are labelled on
+    the driver, with the same result.
+    """
+    low = lambda a, b: F.least(a, b)
+    now = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), low("src", "dst").alias("v")).distinct())
+    before, few = None, now.count() <= LOCAL_EDGES
+    if few:
+        now = _stars(now)
+    while not few:
+        both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        # large star: x's neighbours above it go to the least of x and its neighbours
+        least = both.groupBy("x").agg(F.min("y").alias("m"))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), low("m", "x").alias("v")).where("u <> v").distinct()
+        # small star: u and its lesser neighbours go to the least of them
+        first = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(first, "u").select(F.col("v").alias("a"), F.col("u").alias("b"), "m")
+        now = materialise(small.select(F.explode(F.array("a", "b")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     if nodes is None:
         return out
     return nodes.select("node").distinct().join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def oriented(e: DataFrame, degree: DataFrame) -> DataFrame:
+    """Undirected edges turned to go from the end of lesser degree, of equal ones the lesser node."""
+    d = lambda c: degree.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}"))
+    j = e.join(d("src"), "src").join(d("dst"), "dst")
+    right = (F.col("dsrc") < F.col("ddst")) | ((F.col("dsrc") == F.col("ddst")) & (F.col("src") < F.col("dst")))
+    return j.select(F.when(right, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(right, F.col("dst")).otherwise(F.col("src")).alias("dst"))
+
+
 def local_clustering(edges: DataFrame) -> DataFrame:
     """node, degree, clustering: share of a node's neighbour pairs that are joined."""
-    e = undirected(edges.withColumn("weight", F.lit(1.0))).select("src", "dst")
+    e = materialise(undirected(edges.withColumn("weight", F.lit(1.0))).select("src", "dst"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    # each triangle is found once at its two least edges, then counts for its three corners
-    t = e.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.src")).join(e.alias("z"), (F.col("z.src") == F.col("x.src")) & (F.col("z.dst") == F.col("y.dst")))
-    corner = t.select(F.explode(F.array("x.src", "x.dst", "y.dst")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    # edges go from the end of lesser degree, so that a hub starts few paths; each triangle is found once, at its first corner
+    up = oriented(e, degree)
+    t = up.select("src", F.col("dst").alias("a")).join(up.select("src", F.col("dst").alias("b")), "src").where("a < b").join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"])
+    corner = t.select(F.explode(F.array("src", "a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     d = F.col("degree")
     return degree.join(corner, "node", "left").select("node", "degree", F.when(d >= 2, 2 * F.coalesce("triangles", F.lit(0)) / F.nullif(d * (d - 1), F.lit(0))).otherwise(0.0).alias("clustering"))
 
 
 def structural_holes(edges: DataFrame) -> DataFrame:
     """node, constraint, effective_size, from each node's shares of its undirected weight."""
-    both = both_ways(undirected(edges))
-    total = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    p = both.join(total, "src").where("total > 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
-    via = p.select("src", F.col("dst").alias("q"), F.col("p").alias("p1")).join(p.select(F.col("src").alias("q"), "dst", F.col("p").alias("p2")), "q")
-    indirect = via.groupBy("src", "dst").agg(F.sum(F.col("p1") * F.col("p2")).alias("i"))
+    once = materialise(undirected(edges))
+    both = both_ways(once)
+    total = both.groupBy("src").agg(F.sum("weight").alias("total"), F.count("*").alias("degree"))
+    p = materialise(both.join(total, "src").where("total > 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+    # only paths of two edges that close a triangle count, so triangles are listed first, from their corner of least degree
+    up = oriented(once.select("src", "dst"), total.select(F.col("src").alias("node"), "degree"))
+    t = up.select(F.col("src").alias("x"), F.col("dst").alias("y")).join(up.select(F.col("src").alias("x"), F.col("dst").alias("z")), "x").where("y < z").join(once.select(F.col("src").alias("y"), F.col("dst").alias("z")), ["y", "z"])
+    turns = F.array(*[F.struct(F.col(a).alias("src"), F.col(q).alias("q"), F.col(b).alias("dst")) for a, q, b in (("x", "y", "z"), ("z", "y", "x"), ("x", "z", "y"), ("y", "z", "x"), ("y", "x", "z"), ("z", "x", "y"))])
+    via = t.select(F.explode(turns).alias("w")).select("w.*")
+    steps = via.join(p.select("src", F.col("dst").alias("q"), F.col("p").alias("p1")), ["src", "q"]).join(p.select(F.col("src").alias("q"), "dst", F.col("p").alias("p2")), ["q", "dst"])
+    indirect = steps.groupBy("src", "dst").agg(F.sum(F.col("p1") * F.col("p2")).alias("i"))
     each = p.join(indirect, ["src", "dst"], "left").withColumn("i", F.coalesce("i", F.lit(0.0)))
     return each.groupBy(F.col("src").alias("node")).agg(F.sum((F.col("p") + F.col("i")) ** 2).alias("constraint"), F.sum(1 - F.col("i")).alias("effective_size"))
 
@@ -240,6 +288,7 @@ def reachable(edges: DataFrame, sources: DataFrame, max_hops: int = 6) -> DataFr
 
     One join per hop; nodes already reached are left out of the frontier.
     """
+    edges = materialise(edges.select("src", "dst"))  # once, not for each hop
     seen = materialise(sources.select(F.col("node"), F.lit(0).alias("hops"), F.lit(None).cast(dict(sources.dtypes)["node"]).alias("via")).distinct())
     front = seen
     for hop in range(1, max_hops + 1):
@@ -264,6 +313,7 @@ def path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int
 
 def idea_river(edges: DataFrame, start, hops: int = 5) -> list:
     """From a start, the heaviest edge to a node not yet visited, up to `hops` times."""
+    edges = materialise(edges.select("src", "dst", "weight"))
     out = [start]
     for _ in range(hops):
         r = edges.where((F.col("src") == out[-1]) & ~F.col("dst").isin(out)).orderBy(F.desc("weight"), "dst").first()

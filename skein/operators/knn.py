@@ -1,16 +1,17 @@
 """Exact nearest neighbours, whitening and factors."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vector as V
-from skein.sources.storage import spread
+from skein.sources.storage import materialise, spread
 
-MATRIX_BYTES = 256 << 20  # above this the other side isn't sent to every task
-BLOCK_ROWS = 4_096
+MATRIX_BYTES, BLOCK_ROWS = 256 << 20, 4_096  # what is sent to every task at once; at least so many rows
 
 
 def _top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -45,8 +46,8 @@ def _unit(column: pd.Series) -> np.ndarray:
 def knn(papers: DataFrame, k: int = 8) -> DataFrame:
     """src, dst, rank, score: the k papers of greatest cosine for each, ties to the lesser id.
 
-    If all vectors fit in MATRIX_BYTES (checked) they are broadcast as a matrix. Beyond that both
-    sides are cut into blocks and every pair of blocks is one task's product.
+    The vectors are cut into as few parts as fit in MATRIX_BYTES each (checked); every paper meets
+    one part after another where it lies, so that no vector is shuffled, only the k best of each part.
     """
     spark = papers.sparkSession
     v = papers.select(F.col("paper_id").cast("long").alias("paper_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("paper_id IS NOT NULL AND embedding IS NOT NULL")
@@ -54,31 +55,27 @@ def knn(papers: DataFrame, k: int = 8) -> DataFrame:
     n, d = size["n"], size["d"] or 0
     if n < 2:
         return spark.createDataFrame([], "src long, dst long, rank int, score double")
-    if n * d * 8 <= MATRIX_BYTES:
-        rows = v.toPandas().sort_values("paper_id")
+    parts = -(-n // max(BLOCK_ROWS, MATRIX_BYTES // max(1, 8 * d)))
+    schema = "src long, dst long, rank int, score double"
+    if parts > 1:
+        v = materialise(v)
+
+    def against(part: int) -> DataFrame:
+        mine = v.where(F.pmod(F.xxhash64("paper_id"), F.lit(parts)) == part) if parts > 1 else v
+        rows = mine.toPandas().sort_values("paper_id")
         shared = spark.sparkContext.broadcast((_unit(rows["embedding"]), rows["paper_id"].to_numpy()))
 
         def local(batches):
             x, ids = shared.value
             for b in batches:
-                yield _top(x, ids, _unit(b["embedding"]), b["paper_id"].to_numpy(), k)
-
-        # every task sees all vectors, so its ranks are final
-        return spread(v).mapInPandas(local, "src long, dst long, rank int, score double")
-    else:
-        blocks = -(-n // BLOCK_ROWS)
-        side = F.pmod(F.xxhash64("paper_id"), F.lit(blocks)).cast("int")
-        all_of = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        q = v.select(side.alias("i"), all_of.alias("j"), "*")
-        x = v.select(all_of.alias("i"), side.alias("j"), "*")
-
-        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"src": [], "dst": [], "score": []})
-            b = b.sort_values("paper_id")
-            return _top(_unit(b["embedding"]), b["paper_id"].to_numpy(), _unit(a["embedding"]), a["paper_id"].to_numpy(), k).drop(columns="rank")
-
-        hits = q.groupBy("i", "j").cogroup(x.groupBy("i", "j")).applyInPandas(pair, "src long, dst long, score double")
+                if len(ids):
+                    yield _top(x, ids, _unit(b["embedding"]), b["paper_id"].to_numpy(), k)
+
+        return spread(v).mapInPandas(local, schema)
+
+    if parts == 1:  # every task sees all vectors, so its ranks are final
+        return against(0)
+    hits = reduce(DataFrame.unionByName, map(against, range(parts))).drop("rank")
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "score")
 

@@ -99,10 +99,11 @@ wt AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM bt)) / (1 + df)) + 1
 
 def _bench(spark, sf_dir):
     ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), ascii_only.alias("text"))
+    shared = lambda word, n, times: F.repeat(F.concat(F.lit(f" {word}"), (F.col("item_id") % n).cast("string")), times)
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(ascii_only, shared("theme", 9, 6), shared("topic", 5, 4), F.lit(" in common")).alias("text"))
 
 
-SQL_TFIDF = SQL_TFIDF.replace(SQL_BENCH, "bt AS (SELECT item_id AS id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM benchmark)").replace("[\\w\\x{00C0}-\\x{017F}]{2,}", "\\w\\w+")
+SQL_TFIDF = SQL_TFIDF.replace(SQL_BENCH, "bt AS (SELECT item_id AS id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') || repeat(' theme' || (item_id % 9), 6) || repeat(' topic' || (item_id % 5), 4) || ' in common' AS text FROM benchmark)").replace("[\\w\\x{00C0}-\\x{017F}]{2,}", "\\w\\w+")
 
 
 @query(f"WITH {SQL_TFIDF} SELECT id, term, {r6('weight')} AS weight FROM wn")
