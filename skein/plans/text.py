@@ -240,10 +240,11 @@ def near_pairs(spark, sf_dir):
     return rounded(hygiene.duplicate_pairs(knn.knn(p), p, cosine=0.4).select("a", "b", "cosine"), "cosine")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_KNN}, dp AS (SELECT DISTINCT src AS a, dst AS b FROM kn WHERE score >= 0.4 UNION SELECT DISTINCT dst, src FROM kn WHERE score >= 0.4), reach(node, other) AS (SELECT DISTINCT a, a FROM dp UNION SELECT reach.node, dp.b FROM reach JOIN dp ON reach.other = dp.a), co AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT component, array_to_string(list(node ORDER BY node), ',') AS members FROM co GROUP BY component""")
 def duplicate_groups(spark, sf_dir):
     p = papers(spark, sf_dir).withColumn("title", F.lit("one title for all papers"))
-    return hygiene.duplicate_groups(hygiene.duplicate_pairs(knn.knn(p), p, cosine=0.4))
+    return hygiene.duplicate_groups(hygiene.duplicate_pairs(knn.knn(p), p, cosine=0.4)).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
 SQL_FLAGS = f"""WITH {SQL_TEXTS}, c AS (SELECT doc_id AS paper_id, length(text) AS l FROM documents WHERE doc_id % 5 <> 0),
