@@ -156,6 +156,11 @@ def paper_edges(edges: DataFrame, claims: DataFrame) -> DataFrame:
     return edges.join(of("src"), "src").join(of("dst"), "dst").where("src_paper <> dst_paper").groupBy("src_paper", "dst_paper", "kind").agg(F.count("*").alias("n"))
 
 
+def section(claims: DataFrame, texts: DataFrame, relations_: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """The five tables of the claims report by name."""
+    return {"controversy": controversy(claims), "maturity": maturity(claims), "gaps": gap_clusters(texts), "edge_controversy": edge_controversy(relations_, claims), "stress": stress_rollup(log)}
+
+
 def stress_test(claims: DataFrame, papers: DataFrame, assumption: str) -> DataFrame:
     """Claims one of whose assumptions contains the text; papers without claims stand in by their own (.3)."""
     needle = F.lit(assumption.lower())

@@ -74,6 +74,11 @@ def galaxy(papers: DataFrame, mega: int | None = None, sub: int | None = None) -
         return reduce(DataFrame.unionByName, pool.map(split, megas))
 
 
+def subclusters(papers: DataFrame, members: DataFrame, mega_id: int, desired: int) -> DataFrame:
+    """paper_id, sub_id of one cluster split on demand into at least two."""
+    return kmeans(papers.join(members.where(F.col("mega_id") == mega_id).select("paper_id"), "paper_id", "left_semi"), max(2, desired)).withColumnRenamed("cluster_id", "sub_id")
+
+
 def nearest_centroids(papers: DataFrame, centroids: DataFrame) -> DataFrame:
     """paper_id, home (least distance), d1, d2; centroids are few and broadcast."""
     c = F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("cs")))

@@ -311,8 +311,17 @@ def path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int
     return out[::-1]
 
 
-def idea_river(edges: DataFrame, start, hops: int = 5) -> list:
-    """From a start, the heaviest edge to a node not yet visited, up to `hops` times."""
+def claim_path(edges: DataFrame, claims: DataFrame, source, target, max_hops: int = 6) -> list:
+    """The claims of a shortest path from any claim of one cluster to any of another."""
+    of = lambda c: claims.where(F.col("cluster_id") == F.lit(c)).select(F.col("claim_id").alias("node"))
+    return path(edges, of(source), of(target), max_hops)
+
+
+def idea_river(edges: DataFrame, start, hops: int = 5, nodes: DataFrame | None = None, years: tuple[int, int] | None = None) -> list:
+    """From a start, the heaviest edge to a node not yet visited, up to `hops` times; years: only nodes (node, year) within them."""
+    if years is not None:
+        inside = nodes.where(F.col("year").between(*years)).select(F.col("node").alias("dst"))
+        edges = edges.join(inside, "dst", "left_semi")
     edges = materialise(edges.select("src", "dst", "weight"))
     out = [start]
     for _ in range(hops):

@@ -80,6 +80,12 @@ def knn(papers: DataFrame, k: int = 8) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "score")
 
 
+def from_distances(distances: DataFrame, k: int) -> DataFrame:
+    """src, dst, rank of the k least distances (src, dst, distance) of each source, ties to the lesser id; itself left out."""
+    w = Window.partitionBy("src").orderBy("distance", "dst")
+    return distances.where("src <> dst").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank")
+
+
 def nearest_to(papers: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k papers most like one vector; none for k <= 0 or another dimension."""
     q = F.array(*[F.lit(float(x)) for x in query])

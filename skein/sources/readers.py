@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions import text as TX
 from skein.functions import vector as V
 from skein.sources.sinks import STRATEGY
 
@@ -109,6 +110,30 @@ def read_vectors(spark: SparkSession, path: str, id_col: str = "paper_id") -> Da
     return df.select(F.col(id_col).alias("paper_id"), "embedding")
 
 
+def load_papers(papers: DataFrame, last_year: int, dim: int) -> DataFrame:
+    """Papers as an application shows them: the newest of each file, plausible years, vectors fitted to dim, clean takeaways."""
+    one = valid_years(newest_per(papers, "file_path", "mtime"), last_year)
+    return one.withColumns({"embedding": V.fit_dimension(F.col("embedding"), dim), "takeaways": TX.clean_takeaways(F.coalesce("takeaways", F.array().cast("array<string>")))})
+
+
+def list_files(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
+    """path, mtime of the files of a kind below several roots, each once; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(roots)
+    return files.select("path", F.col("modificationTime").alias("mtime")).distinct()
+
+
+def read_newest_chunks(spark: SparkSession, roots: list[str], dim: int, glob: str = "*.json") -> DataFrame:
+    """The chunks of the newest index file below several roots, vectors fitted to dim."""
+    newest = list_files(spark, roots, glob).orderBy(F.desc("mtime"), F.desc("path")).first()
+    return spark.createDataFrame([], "chunk_id string, paper_id string, text string, embedding array<double>, ord int, page_hint int") if newest is None else read_chunks(spark, newest["path"], dim)
+
+
+def apply_galaxy(papers: DataFrame, clusters: DataFrame, members: DataFrame, pins: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(papers with their subtopic, subtopics in order of id, pins of clusters there are)."""
+    sub = members.where("level = 1").groupBy("paper_id").agg(F.min("cluster_id").alias("subtopic_id"))
+    return papers.join(sub, "paper_id", "left"), clusters.where("level = 1").orderBy("cluster_id"), pins.join(clusters.select("cluster_id").distinct(), "cluster_id", "left_semi")
+
+
 def read_strategies(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per strategy, of each id the newest file; the last updated first."""
     raw = spark.read.schema(STRATEGY).json(path, multiLine=True).where("strategy_id IS NOT NULL").select("*", F.col("_metadata.file_modification_time").alias("modified"))

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cached(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table stored under a key (a corpus version, perhaps with a k), built and stored if it isn't there.
+
+    It is complete when its success mark is, so a build that was cut off is done again.
+    """
+    path = f"{folder.rstrip('/')}/{quote(key, safe='')}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    mark = hadoop.Path(path + "/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 TINY_BYTES = 4 << 20  # per core
 
 
