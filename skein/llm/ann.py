@@ -6,8 +6,10 @@ that lower the number of cut edges. A small network learns to tell a vector's pa
 from its own and its neighbours' partitions; it assigns every vector to the partition it
 finds most probable and routes every query to the most probable several. How many those
 are is measured, not assumed: for held-out queries the exact neighbours among all vectors
-are found, and the fewest probes are taken that reach `RECALL` of them. Inside the probed
-partitions scores and the order of ties are exact, so the only loss is a neighbour in a partition not probed.
+are found, and the fewest probes are taken that reach `RECALL` of them. Beyond
+`MAX_PARTITIONS` partitions of `ROWS_PER_PARTITION` vectors each partition is learned and
+cut again, by its own task from a sample of its own, with a router of its own; the probes
+of both levels are measured together. Inside the probed partitions scores and the order of ties are exact, so the only loss is a neighbour in a partition not probed.
 
 Every row is a query. Defined results: rows that are no usable vector (see
 `vectors.usable_vectors`) have no neighbours and are none; the vector itself isn't its own
@@ -15,6 +17,7 @@ neighbour; equal scores go by the lesser id; with fewer than k others all are re
 """
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +37,7 @@ RECALL = 0.96
 HIDDEN, EPOCHS = 64, 40
 GRAPH_K = 10
 BLOCK = 1 << 22  # scores held at once
+SLOT_QUERIES = 1 << 17  # queries that meet a partition in one task
 RESULT = "query_id long, neighbour_id long, rank int, score double"
 
 
@@ -141,7 +145,6 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int = 1
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """Partitions from the most probable to the least, for each row."""
@@ -177,23 +180,109 @@ def fit_router(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int,
     return r
 
 
-def learn(vectors: DataFrame, dim: int, n: int, k: int, rows_per_partition: int) -> Router:
-    """Partitions and routing from a sample; the number of probes from exact neighbours."""
-    parts = 1
-    while parts < MAX_PARTITIONS and parts * rows_per_partition < n:
-        parts *= 2
-    ids, x = sample(vectors, min(SAMPLE_ROWS, max(2_048, parts * SAMPLE_PER_PARTITION)), dim)
+@dataclass
+class Tree:
+    """The routers of one or two levels; a partition is numbered top * width + inner."""
+
+    top: Router
+    inner: list[Router | None] | None = None
+    width: int = 1
+    outer_probes: int = 1
+    inner_probes: int = 1
+
+    def _below(self, part: int, x: np.ndarray) -> np.ndarray:
+        router = self.inner[part] if self.inner else None
+        return np.zeros((len(x), 1), np.int64) if router is None else router.order(x)
+
+    def routes(self, x: np.ndarray) -> np.ndarray:
+        """The partitions to probe for each row, its own first; -1 where there are fewer."""
+        tops = self.top.order(x)[:, : self.outer_probes]
+        out = np.full((len(x), tops.shape[1], self.inner_probes), -1, np.int64)
+        for part in np.unique(tops):
+            row, place = np.nonzero(tops == part)
+            subs = self._below(part, x[row])[:, : self.inner_probes]
+            out[row, place, : subs.shape[1]] = part * self.width + subs
+        return out.reshape(len(x), -1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        out = self.top.order(x)[:, 0]
+        sub = np.zeros(len(x), np.int64)
+        for part in np.unique(out):
+            rows = np.flatnonzero(out == part)
+            sub[rows] = self._below(part, x[rows])[:, 0]
+        return out * self.width + sub
+
+    def places(self, q: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the partitions `home` (one row a query) come in the queries' orders, on either level."""
+        outer = np.take_along_axis(np.argsort(self.top.order(q), axis=1), home // self.width, 1)
+        inner = np.zeros(home.shape, np.int64)
+        for part in np.unique(home // self.width):
+            rank = np.argsort(self._below(part, q), axis=1)
+            row, column = np.nonzero(home // self.width == part)
+            inner[row, column] = rank[row, home[row, column] % self.width]
+        return outer, inner
+
+
+def fit_partitions(x: np.ndarray, parts: int) -> Router:
+    """Neighbour graph, balanced partitions and their router of sampled vectors."""
     graph = top_k(x, x, min(GRAPH_K, max(1, len(x) - 1)), np.arange(len(x)))[0]
     parts = min(parts, 1 << max(0, int(np.log2(max(1, len(x) // 8)))))
-    router = fit_router(x, graph, balanced_partition(graph, parts), parts)
+    return fit_router(x, graph, balanced_partition(graph, parts), parts)
+
+
+def fit_inner(vectors: DataFrame, dim: int, n: int, top: Router, parts: int, subs: int) -> list[Router | None]:
+    """A router for each partition of the top level, each fitted in a task from a sample of that partition."""
+    spark = vectors.sparkSession
+    shared, wanted = spark.sparkContext.broadcast(top), max(512, subs * SAMPLE_PER_PARTITION)
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.order(units(b.column(1), dim))[:, 0].astype(np.int32))], names=["vec_id", "v", "part"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        return pd.DataFrame({"part": pdf["part"][:1], "router": [pickle.dumps(fit_partitions(units(pdf["v"], dim), subs))]})
+
+    h = F.xxhash64("vec_id")
+    share = min(1.0, 8 * wanted * parts / n)  # enough of every partition that isn't far smaller than most
+    some = vectors.where(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20)))
+    placed = some.mapInArrow(place, "vec_id long, v binary, part int").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(h, "vec_id"))).where(F.col("r") <= wanted).drop("r")
+    found = {r["part"]: pickle.loads(r["router"]) for r in placed.groupBy("part").applyInPandas(fit, "part int, router binary").collect()}  # one small network a partition
+    return [found.get(k) for k in range(parts)]
+
+
+def fewest_probes(outer: np.ndarray, inner: np.ndarray, parts: int, width: int, recall: float) -> tuple[int, int]:
+    """(outer, inner) probes of least product that reach the share `recall` of neighbours at these places."""
+    found = np.zeros((parts, width))
+    np.add.at(found, (outer, inner), 1.0)
+    share = found.cumsum(0).cumsum(1) / max(1, len(outer))
+    cost = np.where(share >= recall, np.outer(np.arange(1, parts + 1), np.arange(1, width + 1)), np.inf) if len(outer) else np.ones((1, 1))
+    if not np.isfinite(cost).any():
+        return parts, width
+    a, b = np.unravel_index(cost.argmin(), cost.shape)
+    return int(a) + 1, int(b) + 1
+
+
+def learn(vectors: DataFrame, dim: int, n: int, k: int, rows_per_partition: int) -> Tree:
+    """Partitions and routing from samples; the number of probes from exact neighbours."""
+    parts = subs = 1
+    while parts < MAX_PARTITIONS and parts * rows_per_partition < n:
+        parts *= 2
+    while subs < MAX_PARTITIONS and parts * subs * rows_per_partition < n:
+        subs *= 2
+    _, x = sample(vectors, min(SAMPLE_ROWS, max(2_048, parts * SAMPLE_PER_PARTITION)), dim)
+    top = fit_partitions(x, parts)
+    parts = top.w2.shape[1]
+    tree = Tree(top) if subs == 1 else Tree(top, fit_inner(vectors, dim, n, top, parts, subs), subs)
     # held-out queries: not the sample's vectors but those of the largest hashes
     spark = vectors.sparkSession
     rows = vectors.orderBy(F.xxhash64("vec_id").desc(), "vec_id").limit(CALIBRATION_QUERIES).toPandas()
     q_ids, q = rows["vec_id"].to_numpy(np.int64), units(rows["v"], dim)
-    shared = spark.sparkContext.broadcast((q_ids, q, router))
+    shared = spark.sparkContext.broadcast((q_ids, q, tree))
 
     def exact(batches):
-        q_ids, q, router = shared.value
+        q_ids, q, tree = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -203,18 +292,15 @@ def learn(vectors: DataFrame, dim: int, n: int, k: int, rows_per_partition: int)
             for j, v in enumerate(q_ids.tolist()):
                 own[j] = place.get(v, -1)
             at, score = top_k(q, x, k + 1, own)
-            home = router.order(x)[:, 0]
-            rank = np.argsort(router.order(q), axis=1)
+            outer, inner = tree.places(q, tree.home(x)[at])
             keep = np.isfinite(score)
-            probe = np.take_along_axis(rank, home[at], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, at.shape[1])[keep.reshape(-1)]), pa.array(ids[at][keep]), pa.array(score[keep]), pa.array(probe[keep])], names=["q", "id", "score", "probe"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, at.shape[1])[keep.reshape(-1)]), pa.array(ids[at][keep]), pa.array(score[keep]), pa.array(outer[keep]), pa.array(inner[keep])], names=["q", "id", "score", "outer", "inner"])
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    near = vectors.mapInArrow(exact, "q long, id long, score double, probe long").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    probe = np.array([r["probe"] for r in near.select("probe").collect()])  # at most k a query
-    need = np.array([(probe < p).mean() if len(probe) else 1.0 for p in range(1, parts + 1)])
-    router.probes = int(np.argmax(need >= RECALL)) + 1 if (need >= RECALL).any() else parts
-    return router
+    near = vectors.mapInArrow(exact, "q long, id long, score double, outer long, inner long").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    places = np.array([(r["outer"], r["inner"]) for r in near.select("outer", "inner").collect()], np.int64).reshape(-1, 2)  # at most k a query
+    tree.outer_probes, tree.inner_probes = fewest_probes(places[:, 0], places[:, 1], parts, tree.width, RECALL)
+    return tree
 
 
 def nearest(table: DataFrame, k: int = K, rows_per_partition: int | None = None) -> DataFrame:
@@ -226,23 +312,24 @@ def nearest(table: DataFrame, k: int = K, rows_per_partition: int | None = None)
     n = vectors.count()
     if n < 2:
         return spark.createDataFrame([], RESULT)
-    router = learn(vectors, dim, n, k, rows_per_partition)
-    shared = spark.sparkContext.broadcast(router)
+    tree = learn(vectors, dim, n, k, rows_per_partition)
+    shared = spark.sparkContext.broadcast(tree)
 
     def route(batches):
         r = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            order = r.order(units(b.column(1), dim))[:, : r.probes]
+            order = r.routes(units(b.column(1), dim))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
 
     routed = materialise(vectors.mapInArrow(route, "vec_id long, v binary, parts array<int>"))
     # queries of one partition are spread over slots, each of which gets all its members
-    slots = max(1, min(64, n // (rows_per_partition * 8)))
+    partitions = tree.top.w2.shape[1] * tree.width
+    slots = max(1, -(-n * tree.outer_probes * tree.inner_probes // (partitions * SLOT_QUERIES)))
     slot = F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int")
     members = routed.select(F.element_at("parts", 1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "vec_id", "v")
-    queries = routed.select(F.explode("parts").alias("part"), slot.alias("slot"), "vec_id", "v")
+    queries = routed.select(F.explode("parts").alias("part"), slot.alias("slot"), "vec_id", "v").where("part >= 0")
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):

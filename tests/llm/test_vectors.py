@@ -108,3 +108,28 @@ def test_queries_over_many_partitions_equal_their_sql(spark, sf):
         got = queries.queries()[name](spark, folder).toPandas()
         assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, db.execute(queries.oracle_sql()[name]).df()[list(got.columns)].to_numpy().tolist()))
         assert len(got)
+
+
+def test_neighbours_over_two_levels_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_PARTITIONS", 4)
+    x = clustered(1500, 16, 6)
+    s = cosine(x)
+    np.fill_diagonal(s, -9)
+    found, dim = ann.usable_vectors(frame(spark, x))
+    tree = ann.learn(found, dim, len(x), 5, 100)
+    assert tree.width == 4 and sum(r is not None for r in tree.inner) == 4
+    homes = tree.home(ann.units(found.toPandas()["v"], dim))
+    assert len(set(homes.tolist())) > 8
+    assert tree.outer_probes * tree.inner_probes < 16  # the table is clustered, so most partitions aren't probed
+    rows = ann.nearest(frame(spark, x), 5, rows_per_partition=100).collect()
+    true = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+    got = {(r["query_id"], r["neighbour_id"]) for r in rows}
+    assert len(rows) == len(got) == 5 * len(x) and len(got & true) / len(true) >= 0.9
+
+
+def test_fewest_probes_are_least_and_enough():
+    rng = np.random.default_rng(2)
+    outer, inner = rng.geometric(0.4, 400).clip(1, 6) - 1, rng.geometric(0.5, 400).clip(1, 5) - 1
+    a, b = ann.fewest_probes(outer, inner, 6, 5, 0.9)
+    share = lambda i, j: ((outer < i) & (inner < j)).mean()
+    assert share(a, b) >= 0.9 and a * b == min(i * j for i in range(1, 7) for j in range(1, 6) if share(i, j) >= 0.9)
