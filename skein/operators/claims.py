@@ -137,17 +137,22 @@ def relations(claims: DataFrame) -> DataFrame:
     """src, dst, kind of ordered claim pairs that share a dataset or metric.
 
     claims: claim_id, statement, dataset, metrics. Candidates come from two equi-joins, on the
-    dataset and on each metric, instead of all pairs.
+    dataset and on each metric, instead of all pairs; what a statement says is found once for each
+    claim and travels as flags. Pairs that share their dataset are left to the first join, so only
+    the second can name a pair twice, by two metrics.
     """
     low = F.lower("statement")
-    c = claims.select("claim_id", low.alias("s"), "dataset", "metrics")
-    ids = c.select("claim_id", "dataset", "metrics")
-    on = lambda d, k: d.select(F.col("claim_id").alias("src"), k).join(d.select(F.col("claim_id").alias("dst"), k), k).where("src <> dst").select("src", "dst")
-    pairs = on(ids.where("dataset IS NOT NULL"), "dataset").unionByName(on(ids.select("claim_id", F.explode("metrics").alias("metric")), "metric")).distinct()
-    p = pairs.join(c.select(F.col("claim_id").alias("src"), F.col("s").alias("a")), "src").join(c.select(F.col("claim_id").alias("dst"), F.col("s").alias("b")), "dst")
-    a, b = F.col("a"), F.col("b")
-    kind = (F.when(a.contains("improve") & (b.contains("does not") | b.contains("fail")), "contradicts").when(b.contains("extends") | b.contains("builds on") | b.contains("further improves"), "extends").when(a.contains("improve") & b.contains("improve"), "supports").otherwise("comparesTo"))
-    return p.select("src", "dst", kind.alias("kind"))
+    says = {"up": low.contains("improve"), "denies": low.contains("does not") | low.contains("fail"), "extends": low.contains("extends") | low.contains("builds on") | low.contains("further improves")}
+    c = claims.select("claim_id", "dataset", "metrics", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in says.items()])
+    kind = F.when(F.col("a_up") & F.col("b_denies"), "contradicts").when(F.col("b_extends"), "extends").when(F.col("a_up") & F.col("b_up"), "supports").otherwise("comparesTo")
+    left = lambda d, *k: d.select(F.col("claim_id").alias("src"), *k, F.col("up").alias("a_up"))
+    right = lambda d, *k: d.select(F.col("claim_id").alias("dst"), *k, F.col("up").alias("b_up"), F.col("denies").alias("b_denies"), F.col("extends").alias("b_extends"))
+    named = c.where("dataset IS NOT NULL")
+    first = left(named, "dataset").join(right(named, "dataset"), "dataset").where("src <> dst").select("src", "dst", kind.alias("kind"))
+    metric = c.select("*", F.explode("metrics").alias("metric"))
+    both = left(metric, "metric", F.col("dataset").alias("da")).join(right(metric, "metric", F.col("dataset").alias("db")), "metric")
+    second = both.where((F.col("src") != F.col("dst")) & ~F.coalesce(F.col("da") == F.col("db"), F.lit(False))).select("src", "dst", kind.alias("kind")).distinct()
+    return first.unionByName(second)
 
 
 def paper_edges(edges: DataFrame, claims: DataFrame) -> DataFrame:
