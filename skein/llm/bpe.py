@@ -50,6 +50,7 @@ CHUNK_BYTES = 1 << 20
 HOLD = 4_096  # characters of an unfinished piece that are held before it is streamed
 SETTLED = 4  # so many characters from the end, cuts can't change any more
 REMEMBERED = 500_000  # pieces per worker
+SHORT_PIECE = 24  # bytes; up to so many are read at once
 LONG_PIECE = 64  # longer pieces are streamed and not remembered
 
 
@@ -153,6 +154,37 @@ class Merges:
                 limit, b = b + 1, right[0]
 
 
+    def whole(self, data: bytes) -> tuple[int, ...]:
+        """What `Encoder` gives for a short piece that is there at once: compatible tokens from front to back.
+
+        At each place the longest compatible token is tried first. A way to a position is the
+        only one, so a position from which none leads on is never reached again.
+        """
+        ranks, compatible, fits, n = self.ranks, self.compatible, self.fits, len(data)
+        out, at, size, dead = [], 0, n, set()
+        before = -1
+        while at < n:
+            while size:
+                t = ranks.get(data[at: at + size])
+                if t is not None and (not dead or at + size not in dead):
+                    if before < 0:
+                        break
+                    ok = compatible.get((before, t))
+                    if fits(before, t) if ok is None else ok:
+                        break
+                size -= 1
+            if size:
+                out.append(t)
+                at, before = at + size, t
+                size = n - at
+            else:  # the last token leads nowhere: a shorter one in its place
+                dead.add(at)
+                size = len(self.tokens[out.pop()]) - 1
+                at -= size + 1
+                before = out[-1] if out else -1
+        return tuple(out)
+
+
 class Encoder:
     """Feeds on bytes of one piece; returns tokens as soon as nothing to come can change them."""
 
@@ -301,6 +333,8 @@ class Codec:
             rank = self.m.ranks.get(data)
             if rank is not None:
                 got = (rank,)
+            elif len(data) <= SHORT_PIECE:
+                got = self.m.whole(data)
             else:
                 e = Encoder(self.m)
                 got = tuple(e.feed(data) + e.finish())

@@ -143,3 +143,12 @@ def test_a_long_document_equals_its_parts(spark, other):
     text = "der Weg ist weit, il s'en va; 12345 %% \n" * 70_000  # longer than a slice
     (r,) = bpe.encode_documents(table(spark, [text]), PATH).collect()
     assert r["round_trip"] and r["tokens"] == other.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["th", "e", "ing", "a", "on", "q", "er", " ", "é", "12", "!", "ment", "zz"]), min_size=1, max_size=9).map("".join) | st.text(min_size=1, max_size=8))
+def test_short_pieces_equal_the_definition(text):
+    m = bpe.load_merges(PATH)
+    data = text.encode("utf-8", "surrogatepass")[: bpe.SHORT_PIECE]
+    e = bpe.Encoder(m)
+    assert list(m.whole(data)) == m.merge(data) == e.feed(data) + e.finish()
