@@ -204,7 +204,7 @@ def redact(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
 
 def oracle_sql(rules: dict[str, str] | None = None) -> str:
     """The same findings in DuckDB: an explicit left boundary, offsets from the pieces between."""
-    inner = r"[^a-zA-Z0-9_/+.\-]"
+    inner = r"[^a-zA-Z0-9]"
     parts = []
     for name, core in (rules or RULES).items():
         flag = "(?i)" if core.startswith("(?i)") else ""
