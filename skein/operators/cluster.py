@@ -16,6 +16,9 @@ from skein.operators import knn, novelty
 from skein.sources.storage import materialise
 
 
+FEW_CENTROIDS = 4_096
+
+
 def hashed_words(text) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -80,10 +83,22 @@ def subclusters(papers: DataFrame, members: DataFrame, mega_id: int, desired: in
 
 
 def nearest_centroids(papers: DataFrame, centroids: DataFrame) -> DataFrame:
-    """paper_id, home (least distance), d1, d2; centroids are few and broadcast."""
-    c = F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("cs")))
+    """papers with home (least distance), d1, d2.
+
+    Up to FEW_CENTROIDS are broadcast as one row; more are cut into blocks of so many, each paper
+    keeps the two nearest of each block, and the least of these count.
+    """
+    blocks = max(1, -(-centroids.count() // FEW_CENTROIDS))
+    block = F.pmod(F.xxhash64("cluster_id"), F.lit(blocks))
+    c = centroids.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("cs")).drop("block")
     d = F.array_sort(F.transform("cs", lambda c: F.struct(V.distance(F.col("embedding"), c["centroid"]).alias("d"), c["cluster_id"].alias("id"))))
-    return papers.crossJoin(c).withColumn("ds", d).select(*papers.columns, F.col("ds")[0]["id"].alias("home"), F.col("ds")[0]["d"].alias("d1"), F.try_element_at("ds", F.lit(2))["d"].alias("d2"))
+    if blocks == 1:
+        placed = papers.crossJoin(F.broadcast(c)).withColumn("ds", d)
+    else:
+        rows = materialise(papers.withColumn("_row", F.monotonically_increasing_id()))
+        near = rows.crossJoin(c).select("_row", F.slice(d, 1, 2).alias("ds")).groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("ds"))).alias("ds"))
+        placed = rows.join(near, "_row")
+    return placed.select(*papers.columns, F.col("ds")[0]["id"].alias("home"), F.col("ds")[0]["d"].alias("d1"), F.try_element_at("ds", F.lit(2))["d"].alias("d2"))
 
 
 def jitter(papers: DataFrame, trials: int, sigma: float, seed: int) -> DataFrame:
@@ -100,7 +115,7 @@ def jitter(papers: DataFrame, trials: int, sigma: float, seed: int) -> DataFrame
 
 def jitter_stability(papers: DataFrame, trials: int = 10, sigma: float = 0.01, seed: int = 5) -> DataFrame:
     """Votes of the nearest centroid under noise: confidence, ambiguity (entropy over ln k), margins."""
-    centroids = novelty.centroid_mean(papers)
+    centroids = materialise(novelty.centroid_mean(papers))
     k = centroids.count()
     base = nearest_centroids(papers.select("paper_id", "cluster_id", "embedding").where("cluster_id IS NOT NULL"), centroids)
     votes = nearest_centroids(jitter(papers.where("cluster_id IS NOT NULL"), max(1, trials - 1), sigma, seed), centroids).select("paper_id", "home").unionByName(base.select("paper_id", F.col("cluster_id").alias("home")))

@@ -185,3 +185,13 @@ def test_ranks_in_blocks_equal_plain_ones():
     x = np.random.default_rng(3).normal(size=(70, 5))
     plain = np.argsort(np.argsort(np.where(np.eye(70) > 0, np.inf, ((x[:, None] - x[None]) ** 2).sum(2)), axis=1), axis=1) + 1
     assert (cluster.ranks(x, block=16) == plain).all() and (cluster.ranks(x) == plain).all()
+
+
+def test_many_centroids_are_met_in_blocks(spark, table, monkeypatch):
+    from skein.operators import novelty
+
+    p = papers(spark, SF)
+    centroids = novelty.centroid_mean(p).orderBy("cluster_id")
+    few = {r["paper_id"]: (r["home"], r["d1"], r["d2"]) for r in cluster.nearest_centroids(p, centroids).collect()}
+    monkeypatch.setattr(cluster, "FEW_CENTROIDS", 3)
+    assert {r["paper_id"]: (r["home"], r["d1"], r["d2"]) for r in cluster.nearest_centroids(p, centroids).collect()} == few
