@@ -14,7 +14,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     (pointer jumping), so the rounds grow with the logarithm of a component's width. Each
     round is a written table in the shared folder, so a lost executor loses nothing.
     """
-    both = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")).distinct())
+    real = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    # turned round row by row, so that what the edges come from is computed once
+    both = materialise(real.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"), F.lit(True).alias("changed")))
     while not labels.where("changed").isEmpty():
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
