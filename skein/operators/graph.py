@@ -79,8 +79,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return rank
 
 
-def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance: float = 1e-6) -> DataFrame:
-    """node, centrality: power iteration over out-edges, norm 1 in each round, until it moves less than the tolerance."""
+def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance: float = 1e-6, written: int = 4) -> DataFrame:
+    """node, centrality: power iteration over out-edges, norm 1 in each round, until it moves less than the tolerance.
+
+    `written` rounds make one written table, whose scaling is left to the end, since the direction
+    is the same; each of its rounds is tested, so it stops at the same one whatever their number.
+    """
     edges = materialise(edges.select("src", "dst", F.greatest("weight", F.lit(0.0)).alias("weight")))
     nodes = materialise(nodes.select("node").distinct())
     n = nodes.count()
@@ -95,16 +99,23 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 80, tolerance:
             if done:
                 break
         return _frame(nodes, ids, c, "centrality")
-    v = materialise(nodes.withColumn("centrality", F.lit(1.0 / max(n, 1) ** 0.5)))
-    for _ in range(rounds):
-        new = edges.join(v, edges["dst"] == v["node"]).groupBy("src").agg(F.sum(F.col("weight") * F.col("centrality")).alias("c"))
-        both = materialise(v.join(new, v["node"] == new["src"], "left").select("node", F.col("centrality").alias("old"), F.coalesce("c", F.lit(0.0)).alias("c")))
-        size = both.agg(F.sqrt(F.sum(F.col("c") * F.col("c")))).first()[0] or 1.0
-        moved = both.agg(F.max(F.abs(F.col("c") / size - F.col("old")))).first()[0]
-        v = both.select("node", (F.col("c") / size).alias("centrality"))
-        if moved is None or moved < tolerance:
+    known = lambda c: nodes.select(F.col("node").alias(c))
+    edges = materialise(edges.join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi"))
+    v = nodes.withColumn("c0", F.lit(1.0 / max(n, 1) ** 0.5))
+    for at in range(0, rounds, written):
+        u, t, steps = v, v, min(written, rounds - at)
+        for j in range(1, steps + 1):
+            u = edges.join(u.select(F.col("node").alias("dst"), F.col(f"c{j - 1}").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("c")).alias(f"c{j}"))
+            t = t.join(u, "node", "left")
+        t = materialise(t.na.fill(0.0))
+        size = [x or 1.0 for x in t.agg(*[F.sqrt(F.sum(F.col(f"c{j}") * F.col(f"c{j}"))) for j in range(steps + 1)]).first()]
+        unit = lambda j: F.col(f"c{j}") / size[j]
+        moved = t.agg(*[F.max(F.abs(unit(j) - unit(j - 1))) for j in range(1, steps + 1)]).first()
+        done = next((j for j, m in enumerate(moved, 1) if m is None or m < tolerance), None)
+        v = t.select("node", unit(done or steps).alias("c0"))
+        if done:
             break
-    return v
+    return v.withColumnRenamed("c0", "centrality")
 
 
 def _stars(edges: DataFrame) -> DataFrame:
