@@ -202,8 +202,7 @@ def paper_relations(spark, sf_dir):
 SELECT cluster_id, count(DISTINCT (src, dst)) FILTER (ca = cb AND kind = 'supports') AS supports, count(DISTINCT (src, dst)) FILTER (ca = cb AND kind = 'contradicts') AS contradicts, count(DISTINCT (src, dst)) FILTER (ca = cb AND kind = 'comparesTo') AS compares,
 count(*) FILTER (ca <> cb AND kind = 'contradicts') AS cross_contradicts, {r6('count(DISTINCT claim) / count(DISTINCT paper)')} AS diversity FROM sd GROUP BY cluster_id""")
 def edge_controversy(spark, sf_dir):
-    c = _typed(spark, sf_dir)
-    return rounded(claims.edge_controversy(claims.relations(c), c), "diversity")
+    return rounded(claims.relation_controversy(_typed(spark, sf_dir)), "diversity")
 
 
 @query("""WITH l AS (SELECT event_id, event_type AS assumption, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events ORDER BY event_id DESC LIMIT 5000), n AS (SELECT CAST(k % 10 AS VARCHAR) AS cluster_id, assumption, sum(k) AS weight FROM l GROUP BY ALL)

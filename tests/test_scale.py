@@ -42,3 +42,15 @@ def test_claim_relations_come_once_and_without_a_shuffle_of_pairs(spark, typed):
     assert len({(r.src, r.dst) for r in rows}) == len(rows) and {(r.src, r.dst): r.kind for r in rows} == plain_relations(typed.collect())
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Distinct" not in plan
+
+
+def test_edge_controversy_is_counted_without_pairs(spark, typed):
+    assert bag(claims.relation_controversy(typed).select(*sorted(["cluster_id", "supports", "contradicts", "compares", "cross_contradicts", "diversity"]))) == bag(claims.edge_controversy(claims.relations(typed), typed).select(*sorted(["cluster_id", "supports", "contradicts", "compares", "cross_contradicts", "diversity"])))
+    single = typed.withColumn("metrics", F.slice("metrics", 1, 1)).where("statement IS NOT NULL")
+    assert bag(claims.relation_controversy(single).select("cluster_id", "supports", "cross_contradicts")) == bag(claims.edge_controversy(claims.relations(single), single).select("cluster_id", "supports", "cross_contradicts"))
+
+
+def test_edge_controversy_where_no_table_is_small(spark, typed, monkeypatch):
+    few = bag(claims.relation_controversy(typed))
+    monkeypatch.setattr(claims, "BROADCAST_ROWS", -1)
+    assert bag(claims.relation_controversy(typed)) == few
