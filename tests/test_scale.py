@@ -54,3 +54,57 @@ def test_edge_controversy_where_no_table_is_small(spark, typed, monkeypatch):
     few = bag(claims.relation_controversy(typed))
     monkeypatch.setattr(claims, "BROADCAST_ROWS", -1)
     assert bag(claims.relation_controversy(typed)) == few
+
+
+def plain_knn(rows, k, within=False):
+    """By all pairs in order, ties to the lesser id."""
+    def cosine(a, b):
+        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return min(1.0, max(-1.0, sum(x * y for x, y in zip(a, b)) / size)) if size else 0.0
+
+    out = {}
+    for i, c, x in rows:
+        near = sorted((-cosine(x, y), j) for j, e, y in rows if j != i and (not within or e == c))[:k]
+        out |= {(i, j): (r, round(-s, 9)) for r, (s, j) in enumerate(near, 1)}
+    return out
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 6)).astype(np.float32).astype(float)
+    x[10:30] = x[40]  # equal vectors, so that ties go across blocks and parts
+    x[50] = 0
+    return [(int(i), int(i) % 4, v.tolist()) for i, v in zip(rng.permutation(90), x)]
+
+
+@pytest.mark.parametrize("block,rows", [(4_096, 8_192), (7, 8_192), (7, 5)])
+def test_neighbours_with_ties_are_exact_in_all_parts(spark, vectors, monkeypatch, block, rows):
+    if block < 100:
+        monkeypatch.setattr(knn, "MATRIX_BYTES", 0)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", block)
+    monkeypatch.setattr(knn, "TASK_ROWS", rows)
+    p = spark.createDataFrame(vectors, "paper_id long, cluster_id int, embedding array<float>")
+    got = lambda df: {(r.src, r.dst): (r["rank"], round(r.score, 9)) for r in df.collect()}
+    assert got(knn.knn(p, 5)) == plain_knn(vectors, 5)
+    assert got(knn.knn(p, 3, F.col("cluster_id"))) == plain_knn(vectors, 3, True)
+
+
+def test_scores_held_at_once_do_not_grow_with_the_vectors(monkeypatch):
+    import tracemalloc
+
+    rng, peaks = np.random.default_rng(1), []
+    q = rng.normal(size=(512, 16))
+    for n in (8_192, 65_536):
+        x = rng.normal(size=(n, 16)).astype(np.float32)
+        best, near = np.full((512, 8), -np.inf), np.full((512, 8), 1 << 40)
+        tracemalloc.start()
+        knn._improve(best, near, q, np.arange(512) + (1 << 30), x, np.arange(n))
+        peaks.append(tracemalloc.get_traced_memory()[1] - 3 * x.nbytes)
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + (4 << 20)
+
+
+def test_neighbours_need_no_shuffle_after_they_are_found(spark):
+    for name in ("structural_holes", "local_clustering", "reachable_papers", "connected_components"):
+        assert plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1, name
