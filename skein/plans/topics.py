@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import vector as V
-from skein.operators import novelty, topics
+from skein.operators import knn, novelty, topics
 from skein.plans.registry import query, r6, rounded
 from skein.sources.adapters import SQL_EVENTS, SQL_PAPERS, SQL_SERIES, SQL_TEXTS, events, papers, priority_series, texts
 
@@ -194,8 +194,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS k F
 SELECT paper_id, {r6('1 - (list_cosine_similarity(embedding, m) + 1) / 2')} AS novelty, {r6('coalesce(sat, 0)')} AS saturation FROM papers JOIN cm USING (cluster_id) LEFT JOIN t ON src = paper_id""")
 def novelty_saturation(spark, sf_dir):
     p = papers(spark, sf_dir)
-    a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.paper_id") != F.col("b.paper_id"))).select(F.col("a.paper_id").alias("src"), F.col("b.paper_id").alias("dst"), V.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
+    same = F.when(F.col("cluster_id").isNotNull(), F.concat_ws(" ", F.col("cluster_id").cast("string"), F.size("embedding").cast("string")))  # vectors of other dimensions have no cosine
+    near = knn.knn(p, 3, same)
     return rounded(novelty.novelty_saturation(p, near).select("paper_id", "novelty", "saturation"), "novelty", "saturation")
 
 

@@ -108,3 +108,19 @@ def test_scores_held_at_once_do_not_grow_with_the_vectors(monkeypatch):
 def test_neighbours_need_no_shuffle_after_they_are_found(spark):
     for name in ("structural_holes", "local_clustering", "reachable_papers", "connected_components"):
         assert plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1, name
+
+
+def test_saturation_meets_no_pairs_in_a_join(spark, vectors, tmp_path):
+    rows = [(i, None if i == 7 else c, x[:3] if i % 13 == 0 else x) for i, c, x in vectors]
+    spark.createDataFrame([(i, c, x) for i, c, x in rows if i % 13], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = plans.queries()["novelty_saturation"](spark, str(tmp_path))
+    assert "NOT (paper_id" not in df._jdf.queryExecution().optimizedPlan().toString()
+    sums = {}
+    for (i, _), (_, s) in plain_knn([r for r in rows if r[0] % 13 and r[1] is not None], 3, True).items():
+        sums.setdefault(i, []).append((s + 1) / 2)
+    assert {r.paper_id: r.saturation for r in df.collect()} == {i: round(sum(s) / len(s), 6) for i, s in sums.items()}
+    mixed = spark.createDataFrame(rows, "paper_id long, cluster_id int, embedding array<float>")
+    got = knn.knn(mixed, 3, F.size("embedding")).collect()
+    assert {(r.src % 13 == 0) for r in got} == {True, False} and all((r.src % 13 == 0) == (r.dst % 13 == 0) for r in got)
+    with pytest.raises(ValueError):
+        knn.knn(mixed, 3)
