@@ -124,3 +124,29 @@ def test_saturation_meets_no_pairs_in_a_join(spark, vectors, tmp_path):
     assert {(r.src % 13 == 0) for r in got} == {True, False} and all((r.src % 13 == 0) == (r.dst % 13 == 0) for r in got)
     with pytest.raises(ValueError):
         knn.knn(mixed, 3)
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Vectors of which many are near copies of each other, some 100,000 apart in their numbers, in several files."""
+    rng, folder = np.random.default_rng(2), str(tmp_path_factory.mktemp("crowded"))
+    base = rng.normal(size=(40, 8)) * 0.4
+    rows = [(i + 98_000 * (i >= 300), int(i) % 3, (base[i % 40] + 0.001 * rng.normal(size=8)).astype(np.float32).astype(float).tolist()) for i in range(3_000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(12, "vec_id").write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["duplicate_papers", "duplicate_paper_groups", "papers_from_json"])
+def test_equals_sql_on_crowded_vectors(spark, crowded, name):
+    import duckdb
+
+    from tests.test_oracles import rows
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{crowded}/embeddings.parquet/*.parquet'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = plans.queries()[name](spark, crowded).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows(got) == rows(db.execute(plans.oracle_sql()[name]).df())
