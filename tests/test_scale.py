@@ -150,3 +150,11 @@ def test_equals_sql_on_crowded_vectors(spark, crowded, name):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert rows(got) == rows(db.execute(plans.oracle_sql()[name]).df())
+
+
+def test_papers_are_carried_along_with_their_claims(spark, typed):
+    got = claims.related_papers(typed)
+    names = ["src_paper", "dst_paper", "kind", "n"]
+    assert bag(got.select(*names)) == bag(claims.paper_edges(claims.relations(typed), typed).select(*names))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert plans.queries()["paper_relations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
