@@ -158,3 +158,16 @@ def test_papers_are_carried_along_with_their_claims(spark, typed):
     assert bag(got.select(*names)) == bag(claims.paper_edges(claims.relations(typed), typed).select(*names))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
     assert plans.queries()["paper_relations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_betweenness_reads_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    line = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src long, dst long, weight double")
+    got = {r.node: r.betweenness for r in graph.betweenness(line.mapInPandas(count, line.schema), weighted=True).collect()}
+    assert got == {0: 0.0, 1: 1.0, 2: 0.0} and seen.value == 2
